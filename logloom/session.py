@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -23,6 +25,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .appName("logloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -35,3 +38,30 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: spark.checkpoint.dir, or a new temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="logloom-")
+    return _local_folder
+
+
+_local_folder: str | None = None
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage where several branches read one costly result; a lost executor then re-reads files
+    instead of recomputing the branch.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
