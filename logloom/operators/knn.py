@@ -13,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 METRICS = ("l2", "cosine")
 FEW_QUERIES = 256
@@ -97,8 +99,6 @@ def _prepared(queries: DataFrame, vectors: DataFrame, metric: str) -> tuple[Data
     v = vectors.select("id", "vector").filter("vector is not null")
     q_type, v_type = q.schema["query_id"].dataType, v.schema["id"].dataType
     ddl = f"query_id {q_type.simpleString()}, id {v_type.simpleString()}, score float"
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow = pa.schema(
         [("query_id", to_arrow_type(q_type)), ("id", to_arrow_type(v_type)), ("score", pa.float32())]
     )
@@ -186,10 +186,13 @@ def assign_cells(df: DataFrame, vector: str, centroids: np.ndarray, n_probe: int
     n = min(n_probe, len(centroids))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def nearest(col):  # noqa: ANN001, ANN202
-        m = np.stack(col.to_numpy()).astype(np.float64)
-        order = np.argsort(c_norm - 2 * (m @ centroids.T), axis=1, kind="stable")[:, :n]
-        return col._constructor(list(order.astype(np.int32)))
+    def nearest(col: pd.Series) -> pd.Series:
+        found = []
+        for i in range(0, len(col), 1024):
+            m = np.stack(col.iloc[i : i + 1024].to_numpy()).astype(np.float64)
+            order = np.argsort(c_norm - 2 * (m @ centroids.T), axis=1, kind="stable")[:, :n]
+            found.extend(order.astype(np.int32))
+        return pd.Series(found)
 
     return df.withColumn("cells", nearest(vector))
 
