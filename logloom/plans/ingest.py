@@ -38,7 +38,8 @@ def ingest(
         )
     else:
         kept = filter_severity(logs, min_severity) if mode == "severity" else logs
-        kept = kept.withColumn("raw_body", F.col("body"))
+        if "raw_body" not in kept.columns:  # a template stream brings it along
+            kept = kept.withColumn("raw_body", F.col("body"))
         stats = ingest_stats(ingest_outcome(logs, mode, min_severity))
     records = embed(kept, "body", embedder)
     source_id = F.col("id")

@@ -8,12 +8,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL settings the operators need; nothing about cluster size is touched."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # duplicate JSON keys: the last one wins, as in the payload producers
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # the stateful processors keep several states per key
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
 
@@ -30,10 +34,6 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

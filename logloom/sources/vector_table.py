@@ -26,7 +26,7 @@ def read_vectors(
         df = df.filter((F.col("day") >= F.to_date(since)) & (F.col("ts") >= since))
     if until is not None:
         df = df.filter((F.col("day") <= F.to_date(until)) & (F.col("ts") <= until))
-    return df.drop("day")
+    return df.drop("day", "batch")
 
 
 def newest_per_id(df: DataFrame, order: list[Column]) -> DataFrame:
