@@ -30,7 +30,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log row per event."""
-    return events(spark, sf_dir).select(
+    return as_logs(events(spark, sf_dir))
+
+
+def as_logs(rows: DataFrame) -> DataFrame:
+    """Log rows of an event table or stream."""
+    return rows.select(
         F.col("event_id").alias("id"),
         "ts",
         F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string")).alias("service"),
