@@ -27,6 +27,27 @@ PARAMETER_PATTERNS = (
 PARAMETER = "^(?:" + "|".join(PARAMETER_PATTERNS) + ")"
 
 
+# the same patterns inside a text of tokens with single spaces between them
+_IN_TEXT = "(?<![^ ])(?:" + "|".join(
+    p.replace(r"\z", "") if p.endswith(r"\z") else p + "[^ ]*" for p in PARAMETER_PATTERNS
+) + ")(?![^ ])"
+
+
+def token_text(body: Column) -> Column:
+    """The tokens of a body joined by single spaces, without building the array."""
+    return F.trim(F.regexp_replace(trim_space(F.coalesce(body, F.lit(""))), SEPARATORS, " "))
+
+
+def mask_text(text: Column) -> Column:
+    """Masked form of a token text: what reconstruct(mask_parameters(tokenize(body))) gives, in one pass."""
+    return F.regexp_replace(text, _IN_TEXT, WILDCARD)
+
+
+def count_tokens(text: Column) -> Column:
+    """Number of tokens in a token text."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+
+
 def tokenize(body: Column) -> Column:
     """Tokens of a log body; empty array when there are none."""
     return F.filter(F.split(trim_space(F.coalesce(body, F.lit(""))), SEPARATORS), lambda t: t != "")

@@ -11,13 +11,18 @@ from logloom.functions.services import extract_service
 from logloom.functions.text import rfc3339
 from logloom.functions.times import slot_of
 from logloom.plans.blocks import latest_before
+from logloom.session import materialize
 
 WINDOW_SECONDS, CONTEXT_ROWS = 15 * 60, 20
 
 
-def with_service(alerts: DataFrame) -> DataFrame:
-    """Add the service an alert names, '' when none is found."""
-    return alerts.withColumn("service", extract_service(F.col("alert"), F.col("message"), F.col("data")))
+def with_service(alerts: DataFrame, store: bool = False) -> DataFrame:
+    """Add the service an alert names, '' when none is found.
+
+    store: write the result to the shared folder, for callers that read it more than once.
+    """
+    out = alerts.withColumn("service", extract_service(F.col("alert"), F.col("message"), F.col("data")))
+    return materialize(out, "alerts") if store else out
 
 
 def recent_logs(
@@ -96,7 +101,7 @@ def enrich_alerts(
     alerts: DataFrame, logs: DataFrame, window_seconds: int = WINDOW_SECONDS, k: int = CONTEXT_ROWS
 ) -> DataFrame:
     """Alerts with `service`, `n_logs`, `log_context` and the analysis `context`; alerts without logs stay."""
-    a = with_service(alerts)
+    a = with_service(alerts, store=True)
     line = F.concat(F.lit("["), rfc3339(F.col("ts")), F.lit("] "), F.col("severity"), F.lit(": "), F.col("body"), F.lit("\n"))
     texts = (
         recent_logs(a, logs, window_seconds, k)

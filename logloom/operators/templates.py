@@ -12,14 +12,16 @@ deep as needed to get under the limit; no task ever sees more than `bucket_limit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.tokens import WILDCARD, mask_parameters, reconstruct, tokenize
+from logloom.functions.tokens import WILDCARD, count_tokens, mask_text, token_text
+from logloom.plans.groups import whole_groups
 from logloom.session import materialize
 
 THRESHOLD = 0.7
@@ -97,10 +99,10 @@ class TemplateSet:
 def with_tokens(logs: DataFrame, body: str = "body") -> DataFrame:
     """Add n_tokens and the masked text of a body; tokens hold no spaces, so the text is a faithful key."""
     return (
-        logs.withColumn("_tokens", tokenize(F.col(body)))
-        .withColumn("n_tokens", F.size("_tokens"))
-        .withColumn("masked", reconstruct(mask_parameters(F.col("_tokens"))))
-        .drop("_tokens")
+        logs.withColumn("_text", token_text(F.col(body)))
+        .withColumn("n_tokens", count_tokens(F.col("_text")))
+        .withColumn("masked", mask_text(F.col("_text")))
+        .drop("_text")
     )
 
 
@@ -171,33 +173,34 @@ def mine_patterns(
         "is_new boolean, template_no int, created_template string, template string"
     )
 
-    def fold(table: pa.Table) -> pa.Table:
-        # at most bucket_limit rows by construction
-        seen = table.column("first").combine_chunks()
-        table = table.take(
-            pc.sort_indices(
-                pa.table({"t": seen.field(ts), "i": seen.field(id_col)}),
-                sort_keys=[("t", "ascending"), ("i", "ascending")],
+    group = [*partition_by, "n_tokens", "prefix"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a bucket waits here until it is complete: at most bucket_limit rows by construction
+        for table, starts in whole_groups(batches, group):
+            texts, widths = table.column("masked").to_pylist(), table.column("n_tokens").to_pylist()
+            number, new, created, final = [], [], [], []
+            for low, high in zip(starts, [*starts[1:], table.num_rows]):
+                known = TemplateSet(widths[low], threshold)
+                for text in texts[low:high]:
+                    i, is_new = known.add(text.split(" "))
+                    number.append(i)
+                    new.append(is_new)
+                    created.append(known.text(i) if is_new else None)
+                last = [known.text(i) for i in range(known.size)]
+                final.extend(last[i] for i in number[low:high])
+            columns = (
+                pa.array(new, pa.bool_()), pa.array(number, pa.int32()), pa.array(created, pa.string()),
+                pa.array(final, pa.string()),
             )
-        )
-        known = TemplateSet(table.column("n_tokens")[0].as_py(), threshold)
-        number, new, created = [], [], []
-        for text in table.column("masked").to_pylist():
-            i, is_new = known.add(text.split(" "))
-            number.append(i)
-            new.append(is_new)
-            created.append(known.text(i) if is_new else None)
-        final = [known.text(i) for i in range(known.size)]
-        columns = (
-            pa.array(new, pa.bool_()), pa.array(number, pa.int32()), pa.array(created, pa.string()),
-            pa.array([final[i] for i in number], pa.string()),
-        )
-        for field, column in zip(added.names, columns):
-            table = table.append_column(field, column)
-        return table
-
-    folded = split.groupBy(*partition_by, "n_tokens", "prefix").applyInArrow(
-        fold, T.StructType(split.schema.fields + added.fields)
+            for field, column in zip(added.names, columns):
+                table = table.append_column(field, column)
+            yield from table.to_batches()
+
+    folded = (
+        split.repartition(*group)
+        .sortWithinPartitions(*group, F.col(f"first.{ts}"), F.col(f"first.{id_col}"))
+        .mapInArrow(fold, T.StructType(split.schema.fields + added.fields))
     )
     lone = stored.filter("n_tokens = 0").drop("bucket", "lone").select(
         "*", F.lit(None).cast("string").alias("prefix"), F.lit(True).alias("is_new"),
@@ -278,4 +281,6 @@ def template_catalogue(mined: DataFrame, partition_by: tuple[str, ...] = ("servi
 
 def mask_template_counts(logs: DataFrame, body: str = "body") -> DataFrame:
     """Row count per masked text, the cheap catalogue that needs no clustering."""
-    return with_tokens(logs, body).filter("n_tokens > 0").groupBy("masked").agg(F.count("*").alias("members"))
+    # the filter reads an aggregate: on the rows it would run the tokenizer once more
+    counts = with_tokens(logs, body).groupBy("masked").agg(F.count("*").alias("members"), F.max("n_tokens").alias("n"))
+    return counts.filter("n > 0").drop("n")

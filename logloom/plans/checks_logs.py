@@ -400,7 +400,7 @@ _RECENT = f"""{ov.LOGS}, {ov.ALERTS}, hit AS (
 
 @query("recent_logs", f"WITH {_RECENT} SELECT alert_id, CAST(rank AS INTEGER) AS rank, id, severity FROM hit WHERE rank <= 20")
 def recent_logs(spark: SparkSession, sf: str) -> DataFrame:
-    a = enrich.with_service(views.alerts(spark, sf))
+    a = enrich.with_service(views.alerts(spark, sf), store=True)
     return enrich.recent_logs(a, views.logs(spark, sf), 6 * 3600).select("alert_id", "rank", "id", "severity")
 
 

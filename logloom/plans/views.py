@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits than there are cores.
+
+    Only tiny tables do; one of many files keeps its splits and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def _case(col: str, mapping: dict, other: str | None = None):
     out = None
     for k, v in mapping.items():
@@ -30,7 +39,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log row per event."""
-    return as_logs(events(spark, sf_dir))
+    return as_logs(spread(events(spark, sf_dir)))
 
 
 def as_logs(rows: DataFrame) -> DataFrame:
@@ -50,7 +59,7 @@ def as_logs(rows: DataFrame) -> DataFrame:
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a log row; the source is the service, (document, line) the order."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
         .select("doc_id", F.col("source").alias("service"), F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
         .withColumn("id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")))
         .withColumn("ts", F.col("doc_id") * 1_000_000 + F.col("line_no"))
@@ -68,7 +77,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     svc = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
     form = F.col("event_id") % 6
     said = F.concat(F.lit("the payments-"), (F.col("user_id") % 5).cast("string"), F.lit(" service is down"))
-    return events(spark, sf_dir).filter("event_type = 'error'").select(
+    return spread(events(spark, sf_dir).filter("event_type = 'error'")).select(
         F.col("event_id").alias("id"),
         "ts",
         svc.alias("log_service"),
