@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.analysis import compose_query
+from logloom.streaming.frames import collect_batch, with_object_strings
 
 
 class AdmissionProcessor(StatefulProcessor):
@@ -25,7 +26,7 @@ class AdmissionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         us, owner = self.last.get() if self.last.exists() else (None, None)
-        batch = pd.concat(list(rows)).sort_values(["request_us", "id"], kind="stable")
+        batch = with_object_strings(collect_batch(rows, ["request_us", "id"]))
         admitted, blocked_by = [], []
         for t, i in zip(batch["request_us"], batch["id"]):
             # a late row older than the last admitted one is within the window of it as well
@@ -38,7 +39,8 @@ class AdmissionProcessor(StatefulProcessor):
                 blocked_by.append(None)
         if us is not None:
             self.last.update((us, owner))
-        batch["admitted"], batch["blocked_by"] = admitted, blocked_by
+        batch["admitted"] = admitted
+        batch["blocked_by"] = pd.Series(blocked_by, index=batch.index, dtype=object)
         yield batch[self.out.names]
 
     def close(self) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.operators.templates import CAPACITY, THRESHOLD, TemplateSet, with_tokens
+from logloom.streaming.frames import collect_batch, with_object_strings
 
 WATERMARK = "10 minutes"
 
@@ -45,7 +47,7 @@ class TemplateProcessor(StatefulProcessor):
         known = TemplateSet(max(width, 1), self.threshold, self.capacity)
         for text, members in self.state.get():
             known.restore(text, members)
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+        batch = collect_batch(rows, ["ts", "id"])
         body, new = [], []
         for text, raw in zip(batch["masked"], batch["body"]):
             if not width:
@@ -57,10 +59,11 @@ class TemplateProcessor(StatefulProcessor):
             new.append(is_new)
         if width:
             self.state.put([(known.text(i), int(known.counts[i])) for i in range(known.size)])
-        first = batch[pd.Series(new, index=batch.index)].copy()
+        first = with_object_strings(batch[np.array(new)])
         first["raw_body"] = first["body"]
-        first["body"] = [b for b, n in zip(body, new) if n]
-        yield first[self.out.names]
+        first["body"] = pd.Series([b for b, n in zip(body, new) if n], index=first.index, dtype=object)
+        if len(first):
+            yield first[self.out.names]
 
     def close(self) -> None:
         pass
@@ -76,7 +79,8 @@ def stream_template_dedup(
     """First row of every template of a log stream, body replaced by the template.
 
     State: the templates per (by, token count), at most `capacity` each, the least used leave first. Exact
-    repeats are dropped before they reach it, so a hot key only brings its distinct patterns.
+    repeats are dropped before they reach it, so a hot key only brings its distinct patterns. Which of several
+    equal rows of one micro-batch stays is not defined then; drop_repeats_within=None keeps strict time order.
     """
     columns = logs.columns
     rows = drop_repeats(logs, drop_repeats_within, by) if drop_repeats_within else with_tokens(logs)
