@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.times import slot_of
-from logloom.plans.blocks import blocked_next
+from logloom.plans.blocks import blocked_next, blocked_previous
 
 LOOKBACK_SECONDS = 300
 # fixed values: default bounds of a latency histogram, in seconds
@@ -31,17 +31,17 @@ def counter_rate(samples: DataFrame, keys: list[str], range_seconds: int, id_col
     """Per-second increase of counters per fixed range; a drop is a reset, so the new value counts whole.
 
     Increases are taken between samples of the same range, as a range selector sees them, without
-    extrapolation. The window holds one range of one series, never a whole series.
+    extrapolation. Ranges are cut into blocks, so a busy series with a long range stays spread out.
     """
     width = range_seconds * 1_000_000
-    w = Window.partitionBy(*keys, "slot").orderBy("ts", id_col)
-    before = F.lag("value").over(w)
+    ranged = samples.withColumn("slot", slot_of(F.col("ts"), width))
+    block = slot_of(F.col("ts"), max(width // 16, 1_000_000))
+    seen = blocked_previous(ranged, [*keys, "slot"], block, ["ts", id_col], F.col("value"), "before")
+    before = F.col("before")
     step = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
     return (
-        samples.withColumn("slot", slot_of(F.col("ts"), width))
-        .withColumn("step", step)
-        .groupBy(*keys, "slot")
-        .agg(F.sum("step").alias("increase"), F.count("*").alias("samples"))
+        seen.groupBy(*keys, "slot")
+        .agg(F.sum(step).alias("increase"), F.count("*").alias("samples"))
         .select(
             *keys, F.timestamp_micros(F.col("slot") * width).alias("start"),
             (F.col("increase") / range_seconds).alias("rate"), "samples",
@@ -102,13 +102,13 @@ def range_query(
     """Value of every series at every step: the latest sample not older than the look-back.
 
     Each sample knows its successor and emits just the steps it answers, so the work is samples plus output
-    rows and no step grid is joined. Series are cut into day blocks for the successor.
+    rows and no step grid is joined. Series are cut into hour blocks for the successor.
     """
     step, back = step_seconds * 1_000_000, lookback_seconds * 1_000_000
-    day = slot_of(F.col("ts"), 86_400_000_000)
+    hour = slot_of(F.col("ts"), 3_600_000_000)
     first, last = F.unix_micros(start), F.unix_micros(end)
     near = samples.filter((F.unix_micros("ts") > first - back) & (F.col("ts") <= end))
-    seen = blocked_next(near, keys, day, F.struct(F.unix_micros("ts").alias("us"), F.col(id_col).alias("i")), "_next")
+    seen = blocked_next(near, keys, hour, F.struct(F.unix_micros("ts").alias("us"), F.col(id_col).alias("i")), "_next")
     us = F.unix_micros("ts")
     until = F.least(F.coalesce(F.col("_next.us"), us + back), us + back, last + 1)
 

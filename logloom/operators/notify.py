@@ -66,3 +66,8 @@ def notification_payloads(reports: DataFrame, min_severity: str | None = None, t
     return notify_filter(reports.filter("status = 'completed'"), min_severity).select(
         "id", "severity", slack_payload(title).alias("payload")
     )
+
+
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Hand the payloads to a sink that delivers them: one JSON document per line."""
+    payloads.select("payload").write.mode("append").text(path)

@@ -61,6 +61,27 @@ def blocked_next(df: DataFrame, keys: list[str], block: Column, order: Column, o
     )
 
 
+def blocked_previous(
+    df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str
+) -> DataFrame:
+    """Value in the row before of the key; the last row of the block before opens a block."""
+    marked = keyed(df, keys).withColumn("_block", block).withColumn("_value", value)
+    inner = Window.partitionBy("_key", "_block").orderBy(*order)
+    lasts = (
+        marked.groupBy("_key", "_block")
+        .agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+        .withColumn("_last_block", F.lag("_last").over(Window.partitionBy("_key").orderBy("_block")))
+        .drop("_last")
+    )
+    return (
+        marked.withColumn("_no", F.row_number().over(inner))
+        .withColumn("_lag", F.lag("_value").over(inner))
+        .join(lasts, ["_key", "_block"])
+        .withColumn(out, F.when(F.col("_no") == 1, F.col("_last_block")).otherwise(F.col("_lag")))
+        .drop("_key", "_block", "_value", "_no", "_lag", "_last_block")
+    )
+
+
 def latest_before(
     left: DataFrame,
     right: DataFrame,
@@ -73,10 +94,11 @@ def latest_before(
 ) -> DataFrame:
     """For every left row the newest right row of the same keys with left_ts - width <= right_ts <= left_ts.
 
-    No pairs are formed: both sides meet in slots as wide as the look-back, a running last value answers
-    inside the slot, and the newest row of the slot before is joined on as one value. The result keeps all
-    left rows; `out` is a struct of the right columns or NULL. Equal times go to the highest id.
+    No pairs are formed: both sides meet in thin time blocks, a running last value answers inside the block,
+    and the newest row of all blocks before is carried in as one value. The result keeps all left rows; `out`
+    is a struct of the right columns or NULL. Equal times go to the highest id.
     """
+    thin = max(width_us // 16, 1_000_000)
     r = (
         keyed(right, keys)
         .select(
@@ -92,20 +114,20 @@ def latest_before(
     both = (
         r.withColumn("_l", F.lit(None).cast(l.schema["_l"].dataType))
         .unionByName(l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)))
-        .withColumn("_slot", slot_of(F.col("_ts"), width_us))
+        .withColumn("_block", slot_of(F.col("_ts"), thin))
         .withColumn("_side", F.col("_l").isNotNull().cast("int"))
     )
-    w = Window.partitionBy("_key", "_slot").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    here = both.withColumn("_here", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    newest = (
-        r.withColumn("_slot", slot_of(F.col("_ts"), width_us) + 1)
-        .groupBy("_key", "_slot")
-        .agg(F.max_by("_r", "_ts").alias("_prev"))
+    inside = Window.partitionBy("_key", "_block").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        both.groupBy("_key", "_block")
+        .agg(F.max_by("_r", F.when(F.col("_side") == 0, F.col("_ts"))).alias("_newest"))
+        .withColumn("_prev", F.last("_newest", ignorenulls=True).over(before))
+        .drop("_newest")
     )
-    low = F.unix_micros("_ts") - width_us
-    return here.join(newest, ["_key", "_slot"], "left").select(
+    here = both.withColumn("_here", F.last("_r", ignorenulls=True).over(inside)).filter("_side = 1")
+    found = F.coalesce("_here", "_prev")
+    return here.join(carried, ["_key", "_block"]).select(
         "_l.*",
-        F.when(F.col("_here").isNotNull(), F.col("_here._row"))
-        .when(F.unix_micros("_prev._t") >= low, F.col("_prev._row"))
-        .alias(out),
+        F.when(F.unix_micros(found["_t"]) >= F.unix_micros("_ts") - width_us, found["_row"]).alias(out),
     )

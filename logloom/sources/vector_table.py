@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,9 @@ def read_vectors(
     return df.drop("day", "batch")
 
 
-def newest_per_id(df: DataFrame, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy("id").orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def newest_per_id(df: DataFrame, order: list[str]) -> DataFrame:
+    """Last version of every id; versions meet in a partial aggregate before the shuffle."""
+    return df.groupBy("id").agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("v")).select("v.*")
 
 
 def upsert_vectors(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def upsert_vectors(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Only ids of the incoming side move when it is small: the planner turns the anti join into a broadcast.
     """
-    fresh = newest_per_id(incoming, [F.col("ts").desc(), F.col("body")])
+    fresh = newest_per_id(incoming, ["ts", "body"])
     return current.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 

@@ -92,10 +92,13 @@ def test_blocked_running_sum_and_next(spark):
     df = spark.createDataFrame(rows, "k string, n int, v int")
     got = {r.n: r.s for r in blocks.blocked_running_sum(df, ["k"], F.floor(F.col("n") / 40), [F.col("n")], F.col("v"), "s").collect()}
     nxt = {r.n: r.x for r in blocks.blocked_next(df, ["k"], F.floor(F.col("n") / 40), F.col("n"), "x").collect()}
-    run, want, after = {}, {}, {}
+    prev = {r.n: r.x for r in blocks.blocked_previous(df, ["k"], F.floor(F.col("n") / 40), ["n"], F.col("v"), "x").collect()}
+    run, want, after, seen = {}, {}, {}, {}
     for k, n, v in rows:
         run[k] = run.get(k, 0) + v
         want[n] = run[k]
+        assert prev[n] == seen.get(k)
+        seen[k] = v
     for k, n, _ in reversed(rows):
         assert nxt[n] == after.get(k)
         after[k] = n

@@ -110,6 +110,12 @@ def test_transitions(spark, table):
     assert [(r.id, r.status, r.summary) for r in drained] == [("a", "failed", "Analysis queue drained during shutdown")]
 
 
+def test_payloads_are_written(spark, table, tmp_path):
+    path = str(tmp_path / "out")
+    notify.write_payloads(notify.notification_payloads(table), path)
+    assert json.loads(spark.read.text(path).first().value)["text"].endswith("Three")
+
+
 def test_notifications(table):
     assert found(notify.notify_filter(table, "warning")) == ["b", "c"]
     assert found(notify.notify_filter(table, "")) == ["a", "b", "c"]
