@@ -48,11 +48,14 @@ def admit_requests(
     marked = requests.withColumn("_key", F.struct(*keys)).withColumn("_us", us).withColumn("_slot", slot)
     times = materialize(marked.groupBy("_key", "_slot", "_us").agg(F.min(id_col).alias("_id")), "request-times")
     slots = materialize(_chunks(times, width, slots_per_chunk, times_per_chunk), "request-slots")
-    placed = times.select("_key", "_slot", "_us").join(slots, ["_key", "_slot"])
+    # of a segment no longer than the window only the first time is admitted
+    brief = slots.filter("_brief and _slot = _segment").select("_key", F.col("_lo").alias("_us"))
+    placed = times.select("_key", "_slot", "_us").join(slots.filter("not _brief").drop("_lo", "_brief"), ["_key", "_slot"])
     span = width * (slots_per_chunk + 2)
     entries = _entries(placed.filter("_last_chunk > 0"), width, span)
     admitted = (
         _walk(placed.join(entries, ["_key", "_segment", "_chunk"], "left"), width, span)
+        .unionByName(brief)
         .join(times, ["_key", "_us"])
         .select("_key", "_slot", F.col("_us").alias("_adm_us"), F.col("_id").alias("_adm_id"))
     )
@@ -77,7 +80,7 @@ def admit_requests(
 
 
 def _chunks(times: DataFrame, width: int, slots_per_chunk: int, times_per_chunk: int) -> DataFrame:
-    """Segment (its first slot), chunk number and the segment's last chunk of every (key, slot).
+    """Segment (its first slot), chunk number, last chunk and briefness of the segment of every (key, slot).
 
     A chunk ends after so many slots or so many times, whichever comes first.
     """
@@ -95,7 +98,10 @@ def _chunks(times: DataFrame, width: int, slots_per_chunk: int, times_per_chunk:
         slots.withColumn("_start", F.when(starts, F.col("_slot")))
         .withColumn("_segment", F.last("_start", ignorenulls=True).over(by_slot))
         .withColumn("_chunk", chunk)
-        .select("_key", "_slot", "_segment", "_chunk", F.max("_chunk").over(in_segment).alias("_last_chunk"))
+        .select(
+            "_key", "_slot", "_segment", "_chunk", "_lo", F.max("_chunk").over(in_segment).alias("_last_chunk"),
+            (F.max("_hi").over(in_segment) - F.min("_lo").over(in_segment) <= width).alias("_brief"),
+        )
     )
 
 
