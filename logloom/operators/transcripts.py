@@ -5,12 +5,13 @@ Tables have conv_id, turn, role, content and, when tools were used, tool_calls,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.analysis import parse_analysis, tool_error_category, truncate_tool_result
 from logloom.functions.text import go_quote, truncate
 from logloom.plans.blocks import blocked_running_sum
+from logloom.session import materialize
 
 ASSISTANT_BYTES, RESULT_BYTES, KEEP_EXCHANGES, TURNS_PER_BLOCK = 200, 150, 2, 4096
 
@@ -29,35 +30,22 @@ def with_tool_columns(t: DataFrame) -> DataFrame:
     return t
 
 
-def _starts(t: DataFrame) -> DataFrame:
-    """Conversation counts, with the first turn: the opening message never starts an exchange."""
-    stats = t.groupBy("conv_id").agg(
-        F.min("turn").alias("first_turn"),
-        F.count("*").alias("n_messages"),
-        F.count_if(F.col("role") == "assistant").alias("n_assistant"),
-        F.min_by("role", "turn").alias("first_role"),
-    )
-    return stats.select(
-        "conv_id", "first_turn", "n_messages",
-        (F.col("n_assistant") - (F.col("first_role") == "assistant").cast("int")).alias("n_exchanges"),
-    )
-
-
 def numbered_messages(t: DataFrame) -> DataFrame:
-    """All messages with their exchange number (0 before the first exchange) and the conversation counts.
+    """All messages with their exchange number, 0 before the first exchange.
 
-    The numbering is a running sum in blocks of turns, so one endless conversation does not end up in one task.
+    The opening message never starts an exchange. The numbering is a running sum in blocks of turns, so one
+    endless conversation does not end up in one task.
     """
-    joined = t.join(_starts(t), "conv_id")
-    start = ((F.col("role") == "assistant") & (F.col("turn") > F.col("first_turn"))).cast("bigint")
-    return blocked_running_sum(
-        joined, ["conv_id"], F.floor(F.col("turn") / TURNS_PER_BLOCK), [F.col("turn")], start, "exchange_no"
-    )
+    opening = t.groupBy("conv_id").agg(F.min("turn").alias("_first"))
+    start = ((F.col("role") == "assistant") & (F.col("turn") > F.col("_first"))).cast("bigint")
+    block = F.floor(F.col("turn") / TURNS_PER_BLOCK)
+    joined = t.join(opening, "conv_id")
+    return blocked_running_sum(joined, ["conv_id"], block, [F.col("turn")], start, "exchange_no").drop("_first")
 
 
 def group_exchanges(t: DataFrame) -> DataFrame:
     """Messages that belong to an exchange: an assistant message and what follows it."""
-    return numbered_messages(t).filter("exchange_no > 0").drop("first_turn", "n_messages", "n_exchanges")
+    return numbered_messages(t).filter("exchange_no > 0")
 
 
 def message_parts(role: Column, content: Column, tool_calls: Column, tool_name: Column) -> Column:
@@ -91,6 +79,29 @@ def summarize_exchanges(numbered: DataFrame) -> DataFrame:
     return lines.select("conv_id", "exchange_no", F.array_join(F.flatten(F.col("m.parts")), "; ").alias("summary"))
 
 
+def _cuts(t: DataFrame, keep: int) -> DataFrame:
+    """Conversations worth compacting, with their first turn and the turn at which the kept exchanges begin.
+
+    Reads turns and roles only. Of every conversation just the last keep + 1 exchange starts are ranked.
+    """
+    opening = t.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_messages"))
+    last_first = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    tail = (
+        t.filter("role = 'assistant'").select("conv_id", "turn").join(opening, "conv_id").filter("turn > first_turn")
+        .withColumn("n", F.row_number().over(last_first)).filter(F.col("n") <= keep + 1)
+        .groupBy("conv_id", "first_turn", "n_messages")
+        .agg(F.max(F.when(F.col("n") == keep, F.col("turn"))).alias("cut_turn"), F.count("*").alias("ranked"))
+        .filter((F.col("ranked") > keep) & (F.col("n_messages") > 3))
+        .select("conv_id", "first_turn", "cut_turn")
+    )
+    dropped = (
+        t.select("conv_id", "turn").join(tail, "conv_id").filter("turn < cut_turn")
+        .groupBy("conv_id", "first_turn", "cut_turn").agg(F.count("*").alias("n"))
+    )
+    # the opening message and the summary take the place of the dropped ones
+    return dropped.filter("n > 2").drop("n")
+
+
 def compact(t: DataFrame, keep: int = KEEP_EXCHANGES) -> DataFrame:
     """Replace all but the last exchanges of a conversation by one summary message.
 
@@ -98,26 +109,20 @@ def compact(t: DataFrame, keep: int = KEEP_EXCHANGES) -> DataFrame:
     afterwards change; the others stay as they are. Order is (turn, seq).
     """
     columns = ["conv_id", "turn", "role", "content", "tool_calls", "tool_call_id", "tool_name"]
-    numbered = numbered_messages(with_tool_columns(t).select(*columns))
-    is_kept = F.col("exchange_no") > F.col("n_exchanges") - keep
-    eligible = (F.col("n_messages") > 3) & (F.col("n_exchanges") > keep)
-    shrunk = (
-        numbered.groupBy("conv_id")
-        .agg(F.count_if(is_kept).alias("n_kept"), F.first("n_messages").alias("n"), F.first("n_exchanges").alias("x"))
-        .select("conv_id", ((F.col("n") > 3) & (F.col("x") > keep) & (F.col("n_kept") + 2 < F.col("n"))).alias("compacted"))
-    )
-    marked = numbered.join(shrunk, "conv_id")
-    messages = marked.filter(~F.col("compacted") | is_kept | (F.col("turn") == F.col("first_turn"))).select(
-        *columns, F.lit(0).alias("seq"), "compacted"
+    full = with_tool_columns(t).select(*columns)
+    cuts = materialize(_cuts(full, keep), "conversation-cuts")
+    messages = (
+        full.join(cuts, "conv_id", "left")
+        .filter("cut_turn is null or turn = first_turn or turn >= cut_turn")
+        .select(*columns, F.lit(0).alias("seq"), F.col("cut_turn").isNotNull().alias("compacted"))
     )
-    cut = marked.filter(F.col("compacted") & eligible & (F.col("exchange_no") > 0) & ~is_kept)
-    lines = summarize_exchanges(cut)
-    heads = shrunk.filter("compacted").join(_starts(t).select("conv_id", "first_turn"), "conv_id")
+    old = full.join(cuts, "conv_id").filter("turn < cut_turn").drop("cut_turn", "first_turn")
+    lines = summarize_exchanges(numbered_messages(old))
     summaries = (
         lines.groupBy("conv_id")
         # the summary is one message by definition; each exchange adds one line to it
         .agg(F.array_sort(F.collect_list(F.struct("exchange_no", "summary"))).alias("s"))
-        .join(heads, "conv_id")
+        .join(cuts, "conv_id")
         .select(
             "conv_id",
             F.col("first_turn").alias("turn"),
