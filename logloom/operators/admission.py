@@ -39,14 +39,17 @@ def admit_requests(
     slots_per_chunk: int = SLOTS_PER_CHUNK,
     times_per_chunk: int = TIMES_PER_CHUNK,
 ) -> DataFrame:
-    """Every request with `admitted` and, when turned away, `blocked_by`: the id of the active request."""
+    """Every request with `admitted` and, when turned away, `blocked_by`: the id of the active request.
+
+    A request without a time is not admitted.
+    """
     width = int(window_seconds * 1_000_000)
     if width <= 0:
         raise ValueError("the window must be positive")
     us = F.unix_micros(ts)
     slot = ((us - F.pmod(us, F.lit(width))) / width).cast("bigint")
     marked = requests.withColumn("_key", F.struct(*keys)).withColumn("_us", us).withColumn("_slot", slot)
-    times = materialize(marked.groupBy("_key", "_slot", "_us").agg(F.min(id_col).alias("_id")), "request-times")
+    times = materialize(marked.filter("_us is not null").groupBy("_key", "_slot", "_us").agg(F.min(id_col).alias("_id")), "request-times")
     slots = materialize(_chunks(times, width, slots_per_chunk, times_per_chunk), "request-slots")
     # of a segment no longer than the window only the first time is admitted
     brief = slots.filter("_brief and _slot = _segment").select("_key", F.col("_lo").alias("_us"))

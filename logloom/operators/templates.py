@@ -6,8 +6,8 @@ Greedy online clustering of token arrays: a row joins the most similar template
 Rows are grouped by (partition columns, token count), the first layer of the Drain tree (He et al.,
 ICWS 2017). Inside such a bucket rows with the same masked tokens behave alike, so the first shuffle
 already carries one row per distinct pattern, and only patterns reach the greedy fold. A bucket with
-more patterns than `bucket_limit` is divided by leading tokens, the next layers of the Drain tree, as
-deep as needed to get under the limit; no task ever sees more than `bucket_limit` patterns.
+more patterns than `bucket_limit` is divided by leading tokens, the next layers of the Drain tree, where
+and as deep as needed; no fold ever sees more than `bucket_limit` patterns.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,29 +127,33 @@ def masked_patterns(
 
 
 def _split_large_buckets(patterns: DataFrame, limit: int) -> DataFrame:
-    """Add `prefix`: NULL in buckets within the limit, else as many leading tokens as bring it under."""
-    large = patterns.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket")
-    tokens = F.split("masked", " ")
-    # 1, 2, 4, … leading tokens, and finally all of them: then a division holds a single pattern
+    """Add `prefix`: NULL in buckets within the limit, else the leading tokens that bring a part under it.
+
+    Each part goes only as deep as it has to: a pattern takes the first of its 1, 2, 4, … leading tokens, all of
+    them at last, that no more than `limit` patterns share. Patterns with that prefix in common agree on the
+    shorter ones as well, so they end up in the same part. Only large buckets are looked at.
+    """
+    large = patterns.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket", F.lit(True).alias("_large"))
     doublings = F.array(*[F.lit(2**e) for e in range(31)])
     depths = F.array_distinct(F.transform(doublings, lambda d: F.least(d, F.col("n_tokens"))))
-    leading = F.concat_ws(" ", F.slice(tokens, F.lit(1), F.col("depth")))
-    chosen = (
+
+    def leading(depth: Column) -> Column:
+        return F.concat_ws(" ", F.slice(F.split("masked", " "), F.lit(1), depth))
+
+    steps = (
         patterns.join(large, "bucket", "left_semi")
-        .select("bucket", "masked", "n_tokens", F.explode(depths).alias("depth"))
-        .groupBy("bucket", "depth", leading.alias("prefix"))
-        .count()
-        .groupBy("bucket", "depth")
-        .agg(F.max("count").alias("largest"))
-        .groupBy("bucket")
-        .agg(
-            F.coalesce(F.min(F.when(F.col("largest") <= limit, F.col("depth"))), F.max("depth")).alias("depth")
-        )
+        .select("bucket", "masked", F.posexplode(depths).alias("step", "depth"))
+        .select("bucket", "masked", "step", leading(F.col("depth")).alias("prefix"))
     )
+    part = ["bucket", "step", "prefix"]
+    crowded = steps.groupBy(*part).count().filter(F.col("count") > limit).drop("count")
+    skip = steps.join(crowded, part, "left_semi").groupBy("bucket", "masked").agg(F.count("*").cast("int").alias("_skip"))
+    depth = F.get(depths, F.coalesce("_skip", F.lit(0)))
     return (
-        patterns.join(chosen, "bucket", "left")
-        .withColumn("prefix", F.when(F.col("depth").isNotNull(), leading))
-        .drop("depth")
+        patterns.join(large, "bucket", "left")
+        .join(skip, ["bucket", "masked"], "left")
+        .withColumn("prefix", F.when(F.col("_large"), leading(depth)))
+        .drop("_large", "_skip")
     )
 
 

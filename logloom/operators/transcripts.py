@@ -108,6 +108,8 @@ def compact(t: DataFrame, keep: int = KEEP_EXCHANGES) -> DataFrame:
     Only conversations with more than three messages, more than `keep` exchanges, and fewer messages
     afterwards change; the others stay as they are. Order is (turn, seq).
     """
+    if keep < 1:
+        raise ValueError("at least one exchange has to stay")
     columns = ["conv_id", "turn", "role", "content", "tool_calls", "tool_call_id", "tool_name"]
     full = with_tool_columns(t).select(*columns)
     cuts = materialize(_cuts(full, keep), "conversation-cuts")

@@ -245,6 +245,20 @@ def knn_ann(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(knn.knn_cells(queries, vectors, centroids, 10, "l2", 6))
 
 
+@query("knn_cells_all", f"WITH {_E}, {_knn_sql('l2', 10)}")
+def knn_cells_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The cell search with every cell probed is exact."""
+    queries, vectors = _all_queries(spark, sf)
+    return _hits(knn.knn_cells(queries, vectors, knn.train_cells(vectors, 8), 10, "l2", 8))
+
+
+@query("ann_recall")
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    queries, vectors = _all_queries(spark, sf)
+    found = knn.knn_cells(queries, vectors, knn.train_cells(vectors, 16), 10, "l2", 6)
+    return knn.recall(found, knn.knn(queries, vectors, 10))
+
+
 _SLOTS = (
     "list_transform(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: "
     f"{{'i': CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {EMBED_DIM}, "
@@ -532,8 +546,7 @@ def alert_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "any_value_numbers",
-    "SELECT event_id, CAST(value AS VARCHAR) AS shown FROM "
-    "(SELECT event_id, regexp_replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', '') AS value FROM events WHERE true) WHERE true",
+    "SELECT event_id, regexp_replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', '') AS shown FROM events",
 )
 def any_value_numbers(spark: SparkSession, sf: str) -> DataFrame:
     v = views.events(spark, sf).select(

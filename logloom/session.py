@@ -49,11 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     global _local_folder
     if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="logloom-")
-    return _local_folder
+        _local_folder = tempfile.TemporaryDirectory(prefix="logloom-")  # gone with the process
+    return _local_folder.name
 
 
-_local_folder: str | None = None
+_local_folder: tempfile.TemporaryDirectory | None = None
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

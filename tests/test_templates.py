@@ -93,6 +93,17 @@ def test_divided_buckets_hold_even_when_only_the_tail_differs(spark):
     assert mined.groupBy("prefix").count().agg(F.max("count")).first()[0] <= 10
 
 
+def test_only_crowded_prefixes_go_deeper(spark):
+    """Half of a large bucket shares its first tokens; the rest stays whole per first token."""
+    rows = [(i, i, "s", f"same start of {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
+    rows += [(i, i, "s", f"{'xyz'[i % 3]} b{chr(97 + i % 26)} c{chr(97 + i // 26)} d") for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "ts int, id int, service string, body string")
+    mined = templates.mine_patterns(templates.masked_patterns(df), bucket_limit=30)
+    prefixes = {r.prefix: r.n for r in mined.groupBy("prefix").agg(F.count("*").alias("n")).collect()}
+    assert {p: n for p, n in prefixes.items() if p[0] in "xyz"} == {"x": 20, "y": 20, "z": 20}
+    assert len([p for p in prefixes if p.startswith("same start of ")]) == 60
+
+
 def test_capacity_evicts_the_least_used():
     known = templates.TemplateSet(2, 0.9, capacity=2)
     known.add(["a", "b"])
