@@ -14,6 +14,7 @@ from logloom.operators import enrich, ingest_filter, knn, search, templates
 from logloom.plans import oracle_views as ov
 from logloom.plans import views
 from logloom.plans.ingest import ingest
+from logloom.session import new_table_path
 from logloom.sources import payloads, vector_table
 
 QUERIES: dict = {}
@@ -182,6 +183,15 @@ def ingest_stats_template(spark: SparkSession, sf: str) -> DataFrame:
     return ingest(views.logs(spark, sf), em.HashEmbedder(EMBED_DIM))[1]
 
 
+@query(
+    "ingest_severity_mode",
+    f"WITH {ov.LOGS} SELECT id AS source_id, service, severity, body, {EMBED_DIM} AS dim FROM logs WHERE severity IN ('error', 'warning')",
+)
+def ingest_severity_mode(spark: SparkSession, sf: str) -> DataFrame:
+    records, _ = ingest(views.logs(spark, sf), em.HashEmbedder(EMBED_DIM), "severity", "warning")
+    return records.select("source_id", "service", "severity", "body", F.size("vector").alias("dim"))
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 
@@ -360,6 +370,21 @@ def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return vector_table.upsert_vectors(logs, fixed).select("id", "service", "body")
 
 
+@query(
+    "vector_table_scan",
+    f"WITH {ov.VECTORS} SELECT id, service, epoch_us(ts) // 1000 AS ts_ms, CAST(len(vector) AS INTEGER) AS dim FROM vectors "
+    "WHERE service = 'svc-1' AND ts >= TIMESTAMP '2024-01-01 06:00:00'",
+)
+def vector_table_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written to a table by day and read back for a time span."""
+    path = new_table_path(spark, "vector-table")
+    vector_table.write_vectors(views.vectors(spark, sf), path)
+    rows = vector_table.read_vectors(spark, path, since=F.lit("2024-01-01 06:00:00").cast("timestamp"))
+    return ingest_filter.equals_if_given(rows, "service", "svc-1").select(
+        "id", "service", F.unix_millis("ts").alias("ts_ms"), F.size("vector").alias("dim")
+    )
+
+
 @query(
     "retention",
     f"WITH {ov.LOGS} SELECT id, service FROM logs WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR",

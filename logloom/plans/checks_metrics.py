@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from logloom.functions import analysis, times
 from logloom.functions.text import truncate
 from logloom.operators import logquery, metrics, transcripts
+from logloom.operators.embed import HashEmbedder
 from logloom.plans import oracle_views as ov
 from logloom.plans import views
 from logloom.plans.blocks import blocked_running_sum
-from logloom.streaming.dedup import stream_template_dedup
-from logloom.streaming.ingest import run_available
+from logloom.session import new_table_path
+from logloom.sources import vector_table
+from logloom.streaming.dedup import drop_repeats, stream_template_dedup
+from logloom.streaming.ingest import hourly_counts, run_available, stream_ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -340,10 +343,43 @@ def parse_duration(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams --------------------------------------------------------------------------------------
 
 
+def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return views.as_logs(views.event_stream(spark, sf))
+
+
 @query("stream_dedup")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Founding rows of the templates of the log stream."""
-    schema = views.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    logs = views.as_logs(events.withColumn("ts", F.col("ts").cast("timestamp")))
-    return run_available(stream_template_dedup(logs), "stream-dedup").select("id", "service", "body", "raw_body")
+    return run_available(stream_template_dedup(_log_stream(spark, sf)), "stream-dedup").select("id", "service", "body", "raw_body")
+
+
+@query(
+    "stream_drop_repeats",
+    f"WITH {ov.LOGS} SELECT DISTINCT service, array_to_string({ov.masked('body')}, ' ') AS masked FROM logs",
+)
+def stream_drop_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per masked text and service, as the delay covers the whole table."""
+    return run_available(drop_repeats(_log_stream(spark, sf), "60 days"), "stream-repeats").select("service", "masked")
+
+
+@query(
+    "stream_ingest",
+    f"WITH {ov.LOGS} SELECT id AS source_id, service, body, 16 AS dim FROM logs WHERE severity = 'error'",
+)
+def stream_ingestion(spark: SparkSession, sf: str) -> DataFrame:
+    """The log stream into a vector table, errors only."""
+    path = new_table_path(spark, "stream-ingest")
+    writer = stream_ingest(_log_stream(spark, sf), HashEmbedder(16), f"{path}/table", f"{path}/checkpoint", "severity", "error")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return vector_table.read_vectors(spark, f"{path}/table").select("source_id", "service", "body", F.size("vector").alias("dim"))
+
+
+@query(
+    "stream_retention",
+    f"""WITH {ov.LOGS}, h AS (SELECT service, date_trunc('hour', ts) AS h, count(*) AS "rows" FROM logs GROUP BY 1, 2)
+      SELECT service, epoch_us(h) AS hour_us, "rows" FROM h WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM logs) - INTERVAL 72 HOUR""",
+)
+def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours that left the state, 72 hours behind the newest row."""
+    out = run_available(hourly_counts(_log_stream(spark, sf)), "stream-retention")
+    return out.select("service", F.unix_micros("window.start").alias("hour_us"), "rows")

@@ -9,6 +9,7 @@ from logloom.functions import analysis
 from logloom.operators import admission, enrich, lifecycle, notify, reports, schedule
 from logloom.plans import oracle_views as ov
 from logloom.plans import views
+from logloom.session import new_table_path
 from logloom.streaming.admission import stream_admission
 from logloom.streaming.ingest import run_available
 
@@ -201,6 +202,21 @@ def report_delete(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.current_reports(versions).select("id", "status")
 
 
+@query(
+    "report_table",
+    f"WITH {ov.REPORTS} SELECT id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, "
+    "CASE WHEN status = 'running' THEN 'timed out' ELSE summary END AS summary FROM reports WHERE NOT (severity = 'info' AND status = 'completed')",
+)
+def report_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Create, update and delete against the stored version log, then the current view."""
+    stored = lifecycle.ReportTable(spark, new_table_path(spark, "reports"))
+    stored.create(views.reports(spark, sf), _as_of(), first=True)
+    late = stored.current().filter("status = 'running'").select("id", F.lit("failed").alias("status"), F.lit("timed out").alias("summary"))
+    stored.update(late, _as_of())
+    stored.delete_where(reports.all_of(reports.eq("severity", "info"), reports.eq("status", "completed")), _as_of())
+    return stored.current().select("id", "status", "summary")
+
+
 @query(
     "report_create_conflicts",
     f"WITH {ov.REPORTS}, n AS (SELECT id + 500 AS id FROM reports) SELECT id, id IN (SELECT id FROM reports) AS conflict FROM n",
@@ -301,12 +317,9 @@ def admit_requests(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_admission", _ADMIT)
 def stream_admissions(spark: SparkSession, sf: str) -> DataFrame:
     """The same decisions by the stateful stream."""
-    events = (
-        spark.readStream.schema(views.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
-    requests = events.select(
+    requests = views.event_stream(spark, sf).select(
         F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "manual").otherwise("webhook").alias("trigger"),
-        F.concat(F.lit("check user "), F.col("user_id").cast("string")).alias("query"), F.col("ts").cast("timestamp").alias("create_time"),
+        F.concat(F.lit("check user "), F.col("user_id").cast("string")).alias("query"), F.col("ts").alias("create_time"),
     )
     out = run_available(stream_admission(requests, DAY), "stream-admission")
     return out.select("id", "admitted", F.coalesce(F.col("blocked_by").cast("bigint"), F.lit(-1)).alias("blocked_by"))

@@ -37,6 +37,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log row per event."""
     return as_logs(spread(events(spark, sf_dir)))

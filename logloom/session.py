@@ -56,12 +56,17 @@ def shared_folder(spark: SparkSession) -> str:
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """Path of a new table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage where several branches read one costly result; a lost executor then re-reads files
     instead of recomputing the branch.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

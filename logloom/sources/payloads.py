@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom import schemas
-from logloom.functions.jsonv import json_document, json_type
-from logloom.functions.text import double_text
+from logloom.functions.jsonv import json_document, json_object, json_type
+from logloom.functions.text import double_text, let
 
 _STRICT = {"mode": "PERMISSIVE"}
 
@@ -73,17 +73,29 @@ def loki_streams(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def _is_entry(doc: Column) -> Column:
+    """A JSON object whose entry members, as far as it has them, are strings."""
+    names = F.array(F.lit("_time"), F.lit("_stream"), F.lit("level"), F.lit("_msg"))
+
+    def fits(members: Column) -> Column:
+        kinds = F.transform(names, lambda n: json_type(F.try_element_at(members, n)))
+        return members.isNotNull() & F.forall(kinds, lambda k: k.isNull() | k.isin("STRING", "VOID"))
+
+    return F.coalesce(json_type(doc) == "VOID", F.lit(False)) | F.coalesce(let(json_object(doc), fits), F.lit(False))
+
+
 def victorialogs(df: DataFrame, payload: str = "payload") -> DataFrame:
     """A JSON array of entries, or one entry per line; bad and empty lines are skipped.
 
     The array form leaves out an empty stream label, the line form keeps it.
     """
-    as_array = F.when(
-        json_type(json_document(F.col(payload))).startswith("ARRAY"),
-        F.from_json(payload, f"array<{schemas.VICTORIA_ENTRY}>", _STRICT),
-    )
-    lines = F.filter(F.split(F.col(payload), "\n"), lambda s: s != "")
-    good = F.filter(lines, lambda s: json_type(json_document(s)).startswith("OBJECT"))
+    doc = F.col(payload)
+    is_array = let(json_document(doc), lambda d: json_type(d).startswith("ARRAY") & F.coalesce(
+        F.forall(F.try_variant_get(d, "$", "array<variant>"), _is_entry), F.lit(True)
+    ))
+    as_array = F.when(is_array, F.from_json(payload, f"array<{schemas.VICTORIA_ENTRY}>", _STRICT))
+    lines = F.filter(F.split(doc, "\n"), lambda s: s != "")
+    good = F.filter(lines, lambda s: F.coalesce(let(json_document(s), _is_entry), F.lit(False)))
     as_lines = F.transform(good, lambda s: F.from_json(s, schemas.VICTORIA_ENTRY, _STRICT))
     rows = df.select(as_array.isNotNull().alias("is_array"), F.explode(F.coalesce(as_array, as_lines)).alias("e"))
     stream = F.coalesce("e._stream", F.lit(""))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -11,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from logloom.operators.embed import Embedder
 from logloom.operators.ingest_filter import check_mode
 from logloom.plans.ingest import ingest
-from logloom.session import shared_folder
+from logloom.session import new_table_path
 from logloom.sources.vector_table import write_vectors
 from logloom.streaming.dedup import WATERMARK, stream_template_dedup
 
@@ -61,7 +59,7 @@ def hourly_counts(logs: DataFrame, ttl: str = "72 hours") -> DataFrame:
 
 def run_available(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over all data there is, into a table in the shared folder, and read that table."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_table_path(df.sparkSession, name)
     query = (
         df.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start()

@@ -55,6 +55,11 @@ def test_log_stores(spark):
     ]
 
 
+def test_entries_of_the_wrong_type_are_skipped(spark):
+    rows = payloads.victorialogs(docs(spark, '[{"_msg":5}]', '{"_msg":5}\n{"_msg":"ok"}', "[]", '[{"_msg":"x"},{"_msg":["y"]}]')).collect()
+    assert [r.message for r in rows] == ["ok"]
+
+
 def test_metric_results(spark):
     vector = {"data": {"resultType": "vector", "result": [{"metric": {"job": "a"}, "value": [1700000000, "1"]}, {"metric": {"job": "b"}, "value": [1700000000.1234, "NaN"]}]}}
     matrix = {"data": {"resultType": "matrix", "result": [{"metric": {}, "values": [[1, "1"], [61, "2.5"], [121, "+Inf"]]}]}}
