@@ -57,12 +57,19 @@ def hourly_counts(logs: DataFrame, ttl: str = "72 hours") -> DataFrame:
     )
 
 
-def run_available(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all data there is, into a table in the shared folder, and read that table."""
-    path = new_table_path(df.sparkSession, name)
-    query = (
-        df.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
+def run_available(df: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+    """Run a stream over all data there is, into a table in the shared folder, and read that table.
+
+    The number of state partitions is fixed for the life of a checkpoint; by default there is one per core.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    writer = df.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions or spark.sparkContext.defaultParallelism)
+    try:
+        query = writer.trigger(availableNow=True).start()  # the stream keeps its own copy of the settings
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
