@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, line_dedup, mixing, quality, simhash
+from logloom.llm import decontamination, line_dedup, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality": quality.op4_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_templates": line_dedup.op8_line_templates,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
