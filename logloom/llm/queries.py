@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, line_dedup, mixing, quality, simhash, toxicity
+from logloom.llm import decontamination, line_dedup, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality": quality.op4_quality,
+    "op6_warc_in_zip": warc.op6_warc_in_zip,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_templates": line_dedup.op8_line_templates,
     "op10_mix_sources": mixing.op10_mix_sources,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_decontamination": decontamination.SQL,
+    "op6_warc_in_zip": warc.SQL,
     "op8_line_templates": line_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
 }
