@@ -16,31 +16,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import table
-
-#: Separates the parts of a template; no token holds it, as tokens hold no control characters that separate words.
-MARK = "\t"
+from logloom.functions.text import let
+from logloom.llm.common import materialize, table
 
 
 def tokens_of(line: Column) -> Column:
     """Tokens between white space of ASCII, variable fields masked."""
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", "<*>")
-    return F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    masked = F.when(
+        line.rlike("[0-9@]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", "<*>")
+    ).otherwise(line)  # the test is cheap, the replacement is not
+    spaced = F.when(masked.rlike(r"[\x09-\x0D]"), F.translate(masked, "\t\x0b\x0c\r", "    ")).otherwise(masked)
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def templates_of(tokens: Column, depth: int, fields: int) -> Column:
+    """The templates of a token array: an array of structs of the number of tokens and two hashes, 128 bits in all.
 
+    Every token is hashed once, in its field; a template combines the hashes of the fields that it does not leave open.
+    """
+
+    def combined(n: Column, hashes: Column) -> Column:
+        out = []
+        for k in range(fields):
+            parts = [n, F.lit(k), *(F.get(hashes, F.lit(j)) for j in range(fields + 1) if j != k + 1)]
+            out.append(F.struct(n.alias("n"), F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit("second"), *parts).alias("t2")))
+        return F.array(*out)
 
-def templates_of(tokens: Column, depth: int, fields: int) -> list[Column]:
-    """The templates of a token array as structs of two hashes, 128 bits in all."""
     n = F.size(tokens)
-    rest = n - depth
-    width = F.ceil(F.greatest(rest, F.lit(0)) / fields).cast("int")
-    out = []
-    for k in range(fields):
-        left = F.slice(tokens, F.lit(1), F.least(n, F.lit(depth) + width * k))
-        start = F.lit(depth + 1) + width * (k + 1)
-        right = F.slice(tokens, start, F.greatest(n - start + 1, F.lit(0)))
-        parts = [n, F.lit(k), F.array_join(left, MARK), F.array_join(right, MARK)]
-        out.append(F.struct(F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit("second"), *parts).alias("t2")))
-    return out
+    width = F.ceil(F.greatest(n - depth, F.lit(0)) / fields).cast("int")
+    pieces = [F.xxhash64(F.slice(tokens, 1, depth))]
+    pieces += [F.xxhash64(F.slice(tokens, F.lit(depth + 1) + width * k, width)) for k in range(fields)]
+    return let(F.array(*pieces), lambda hashes: combined(n, hashes))
 
 
 def drop_recurring_lines(
@@ -63,13 +69,16 @@ def drop_recurring_lines(
     A null text stays null and has no lines, an empty text has one empty line. Null ids count as one document before all
     others. Rows with one id and one text get the same result, rows with one id and different texts are parts of one document.
     """
-    line_at = F.posexplode(F.split(text_col, "\n"))
     lines = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text_col).alias("of"), line_at.alias("line", "body")
-    ).select("doc", "of", "line", tokens_of(F.col("body")).alias("tokens"))
-    index = lines.where(F.size("tokens") >= min_tokens).select(
-        "doc", "of", "line", F.size("tokens").alias("n"), F.explode(F.array(*templates_of(F.col("tokens"), depth, fields))).alias("t")
-    ).select("doc", "of", "line", "n", "t.t1", "t.t2")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"),
+        F.xxhash64(text_col).alias("of"),
+        F.posexplode(F.split(text_col, "\n")).alias("line", "body"),
+    )
+    # let: the tokens are computed once, not once for each of their uses
+    found_in = let(tokens_of(F.col("body")), lambda t: F.when(F.size(t) >= min_tokens, templates_of(t, depth, fields)))
+    # written: the templates are read twice and cost more to find than to read
+    held = materialize(lines.select("doc", "of", "line", found_in.alias("templates")).where(F.col("templates").isNotNull()), "templates")
+    index = held.select("doc", "of", "line", F.explode("templates").alias("t")).select("doc", "of", "line", "t.n", "t.t1", "t.t2")
     recurring = index.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     found = index.join(recurring, ["t1", "t2"]).where("doc > first").groupBy("doc", "of", "line").agg(F.first("n").alias("n"))
     lost = found.groupBy("doc", "of").agg(F.collect_list("line").alias("__lost"), F.sum("n").alias("__lost_words"))

@@ -147,7 +147,8 @@ def mix(
             (F.col("copies") * F.col("size")).cast("long").alias("taken"), at.alias("position"),
         )
     )
-    return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id", "size")
+    # documents that are not taken share one position; the id divides them
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "size")
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
