@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, line_dedup, mixing, quality, simhash, toxicity, warc
+from logloom.llm import decontamination, hmm, line_dedup, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc_in_zip": warc.op6_warc_in_zip,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_templates": line_dedup.op8_line_templates,
+    "op9_hmm_scoring": hmm.op9_hmm_scoring,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
