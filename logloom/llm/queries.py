@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, hmm, line_dedup, mixing, quality, simhash, toxicity, warc
+from logloom.llm import decontamination, hmm, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality": quality.op4_quality,
+    "op5_nn_descent": neighbours.op5_nn_descent,
     "op6_warc_in_zip": warc.op6_warc_in_zip,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_templates": line_dedup.op8_line_templates,
