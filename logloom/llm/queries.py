@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, hmm, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
+from logloom.llm import decontamination, hmm, language, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_language_id": language.op2_language_id,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality": quality.op4_quality,
     "op5_nn_descent": neighbours.op5_nn_descent,
