@@ -30,9 +30,11 @@ from pyspark.sql import types as T
 from logloom.llm.common import bucket_of_id, id_and_bytes, labelled, map_rows, table
 
 #: Labelled rows that the machine is fitted on, at most.
-SAMPLE = 4_000
-LANDMARKS, CLEAN_LANDMARKS = 48, 16
+SAMPLE = 3_000
+LANDMARKS, CLEAN_LANDMARKS = 40, 8
 DECAY, POWER, LETTERS = 0.7, 3, 32
+#: Letters that a triple covers at most; the weight of longer stretches is next to nothing.
+STRETCH = 7
 #: Characters of a word that are compared at once; longer words are windows that overlap by half.
 SPAN = 24
 #: Words of a sentence at most; what runs on is several sentences.
@@ -49,7 +51,8 @@ _EDGE = bytes(b for b in range(128) if _LETTER[b] < 0 and not 48 <= b <= 57)
 #: Two of these begin every word, so that beginnings of words are told from their middles.
 _START = b"\x01\x01"
 _LETTER[1] = 31
-_STOPS = frozenset(b".!?")
+#: All white space of ASCII but the line end becomes a space.
+_SPACES = bytes(32 if b in (9, 11, 12, 13) else b for b in range(256))
 
 
 def canonical(word: bytes) -> bytes:
@@ -67,7 +70,7 @@ def _triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code = _LETTER[raw].astype(np.int32)
     order = np.argsort(code < 0, axis=1, kind="stable")  # letters first, in order
     code, most = np.take_along_axis(code, order, 1), int((code >= 0).sum(1).max(initial=0))
-    picks = np.array(list(combinations(range(most), 3)), np.int64).reshape(-1, 3)
+    picks = np.array([x for x in combinations(range(most), 3) if x[2] - x[0] < STRETCH], np.int64).reshape(-1, 3)
     a, b, c = (code[:, picks[:, k]] for k in range(3))
     weight = DECAY ** (picks[:, 2] - picks[:, 0] + 1.0)
     return np.where(c >= 0, (a * LETTERS + b) * LETTERS + c, LETTERS**3), weight.astype(np.float32)
@@ -124,15 +127,13 @@ class Kernel:
 
 def sentences(text: bytes) -> Iterator[set[bytes]]:
     """Distinct words of every sentence; a sentence ends with a line, a full stop, ! or ?, or after SENTENCE words."""
+    text = text.translate(_SPACES)
+    for stop in (b". ", b"! ", b"? "):
+        text = text.replace(stop, stop[:1] + b"\n")
     for line in text.split(b"\n"):
-        now: list[bytes] = []
-        for w in line.split():
-            now.append(w)
-            if w[-1] in _STOPS or len(now) == SENTENCE:
-                yield set(now)
-                now = []
-        if now:
-            yield set(now)
+        words = line.split()
+        for at in range(0, len(words), SENTENCE):
+            yield set(words[at : at + SENTENCE])
 
 
 def _stems(word: bytes) -> Iterator[bytes]:
