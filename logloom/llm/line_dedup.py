@@ -81,17 +81,19 @@ def drop_recurring_lines(
     index = held.select("doc", "of", "line", F.explode("templates").alias("t")).select("doc", "of", "line", "t.n", "t.t1", "t.t2")
     recurring = index.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     found = index.join(recurring, ["t1", "t2"]).where("doc > first").groupBy("doc", "of", "line").agg(F.first("n").alias("n"))
-    lost = found.groupBy("doc", "of").agg(F.collect_list("line").alias("__lost"), F.sum("n").alias("__lost_words"))
+    lost = found.groupBy(F.col("doc").alias("__doc"), F.col("of").alias("__of")).agg(
+        F.collect_list("line").alias("__lost"), F.sum("n").alias("__lost_words")
+    )
 
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_col)]
-    joined = docs.join(lost, (keys[0] == F.col("doc")) & (keys[1] == F.col("of")), "left")
+    joined = docs.join(lost, (keys[0] == F.col("__doc")) & (keys[1] == F.col("__of")), "left")
     words = F.size(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda t: t != ""))
     dropping = F.col("__lost").isNotNull()
     if keep_whole_above < 1:
         dropping = dropping & (F.col("__lost_words") <= F.lit(keep_whole_above) * words)
     kept = _without(F.col(text_col), F.col("__lost"))
     return joined.withColumn("__drop", dropping).select(
-        *[F.when(F.col("__drop"), kept).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in docs.columns],
+        *[F.when(F.col("__drop"), kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.greatest(F.size(F.split(text_col, "\n")), F.lit(0)).alias("__n_lines"),
         F.when(F.col("__drop"), F.size("__lost")).otherwise(0).alias("__n_dropped"),
         F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).alias("__n_recurring"),
