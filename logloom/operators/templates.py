@@ -4,10 +4,11 @@ Greedy online clustering of token arrays: a row joins the most similar template
 (the earliest wins ties) and turns differing positions into wildcards, or it founds a new template.
 
 Rows are grouped by (partition columns, token count), the first layer of the Drain tree (He et al.,
-ICWS 2017). Inside such a bucket rows with the same masked tokens behave alike, so the first shuffle
-already carries one row per distinct pattern, and only patterns reach the greedy fold. A bucket with
-more patterns than `bucket_limit` is divided by leading tokens, the next layers of the Drain tree, where
-and as deep as needed; no fold ever sees more than `bucket_limit` patterns.
+ICWS 2017), and with `depth` by that many leading tokens as well, its next layers. The depth holds for every
+bucket whatever its size, so rows that are added elsewhere never change what a template is. Inside a bucket
+rows with the same masked tokens behave alike: the first shuffle carries one row per distinct pattern, and only
+patterns reach the greedy fold. The fold walks through the patterns of a bucket in time order and holds its
+templates, not its patterns; candidates come from an index by position and token.
 """
 
 from __future__ import annotations
@@ -19,19 +20,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from logloom.functions.tokens import WILDCARD, count_tokens, mask_text, token_text
-from logloom.plans.groups import whole_groups
+from logloom.plans.groups import group_changes
 from logloom.session import materialize
 
 THRESHOLD = 0.7
 CAPACITY = 10_000
-BUCKET_LIMIT = 20_000
+DEPTH = 0
 _WILD, _MASKED = -1, -2
 
 
 class TemplateSet:
-    """Templates of one bucket, all of the same token count, as a growing integer matrix."""
+    """Templates of one bucket, all of the same token count, as a growing integer matrix.
+
+    `at` lists the templates that have a token at a position. A position that turned into a wildcard stays listed; the
+    matrix decides.
+    """
 
     def __init__(self, width: int, threshold: float = THRESHOLD, capacity: int | None = None):
         self.width, self.threshold, self.capacity = width, threshold, capacity
@@ -39,6 +45,8 @@ class TemplateSet:
         self.words: list[str] = []
         self.rows = np.zeros((64, width), dtype=np.int64)
         self.counts = np.zeros(64, dtype=np.int64)
+        self.wild = np.zeros(64, dtype=np.int64)
+        self.at: dict[tuple[int, int], list[int]] = {}
         self.size = 0
 
     def encode(self, tokens: list[str], masked: int) -> np.ndarray:
@@ -54,27 +62,50 @@ class TemplateSet:
             out[i] = code
         return out
 
+    def closest(self, x: np.ndarray) -> tuple[int, float]:
+        """The earliest of the templates with the highest share of equal or wildcard positions."""
+        if not self.size:
+            return -1, 0.0
+        hits = self.wild[: self.size].copy()
+        for p, code in enumerate(x.tolist()):
+            listed = self.at.get((p, code))
+            if listed is not None:
+                at = np.array(listed)
+                at = at[self.rows[at, p] == code]
+                if len(at) < len(listed) // 2:
+                    self.at[p, code] = at.tolist()
+                hits[at] += 1
+        best = int(hits.argmax())
+        return best, float(hits[best]) / self.width
+
     def add(self, tokens: list[str], rows: int = 1) -> tuple[int, bool]:
         """Index of the template the masked tokens belong to, and whether they founded it."""
         x = self.encode(tokens, _MASKED)
-        if self.size:
-            known = self.rows[: self.size]
-            score = ((known == x) | (known == _WILD)).sum(axis=1) / self.width
-            best = int(score.argmax())
-            if score[best] > 0 and score[best] >= self.threshold:
-                row = self.rows[best]
-                row[row != x] = _WILD
-                self.counts[best] += rows
-                return best, False
+        best, score = self.closest(x)
+        if best >= 0 and 0 < score >= self.threshold:
+            row = self.rows[best]
+            row[row != x] = _WILD
+            self.wild[best] = int((row == _WILD).sum())
+            self.counts[best] += rows
+            return best, False
         if self.capacity is not None and self.size >= self.capacity:
             self.evict()
+        self._append(np.where(x == _MASKED, _WILD, x), rows)
+        return self.size - 1, True
+
+    def _append(self, row: np.ndarray, count: int) -> None:
         if self.size == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.rows[self.size] = np.where(x == _MASKED, _WILD, x)
-        self.counts[self.size] = rows
+            self.wild = np.concatenate([self.wild, np.zeros_like(self.wild)])
+        self._put(self.size, row, count)
         self.size += 1
-        return self.size - 1, True
+
+    def _put(self, i: int, row: np.ndarray, count: int) -> None:
+        self.rows[i], self.counts[i], self.wild[i] = row, count, int((row == _WILD).sum())
+        for p, code in enumerate(row.tolist()):
+            if code != _WILD:
+                self.at.setdefault((p, code), []).append(i)
 
     def evict(self) -> None:
         """Drop the least used template; the last one takes its place."""
@@ -82,15 +113,15 @@ class TemplateSet:
             return
         worst = int(self.counts[: self.size].argmin())
         self.size -= 1
-        self.rows[worst], self.counts[worst] = self.rows[self.size], self.counts[self.size]
+        for i in {worst, self.size}:
+            for p, code in enumerate(self.rows[i].tolist()):
+                if code != _WILD:
+                    self.at[p, code] = [k for k in self.at[p, code] if k != i]
+        if worst != self.size:
+            self._put(worst, self.rows[self.size].copy(), int(self.counts[self.size]))
 
     def restore(self, text: str, count: int) -> None:
-        if self.size == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.rows[self.size] = self.encode(text.split(" "), _WILD)
-        self.counts[self.size] = count
-        self.size += 1
+        self._append(self.encode(text.split(" "), _WILD), count)
 
     def text(self, i: int) -> str:
         return " ".join(WILDCARD if c == _WILD else self.words[c] for c in self.rows[i])
@@ -126,91 +157,85 @@ def masked_patterns(
     )
 
 
-def _split_large_buckets(patterns: DataFrame, limit: int) -> DataFrame:
-    """Add `prefix`: NULL in buckets within the limit, else the leading tokens that bring a part under it.
-
-    Each part goes only as deep as it has to: a pattern takes the first of its 1, 2, 4, … leading tokens, all of
-    them at last, that no more than `limit` patterns share. Patterns with that prefix in common agree on the
-    shorter ones as well, so they end up in the same part. Only large buckets are looked at.
-    """
-    large = patterns.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket", F.lit(True).alias("_large"))
-    doublings = F.array(*[F.lit(2**e) for e in range(31)])
-    depths = F.array_distinct(F.transform(doublings, lambda d: F.least(d, F.col("n_tokens"))))
-
-    def leading(depth: Column) -> Column:
-        return F.concat_ws(" ", F.slice(F.split("masked", " "), F.lit(1), depth))
-
-    steps = (
-        patterns.join(large, "bucket", "left_semi")
-        .select("bucket", "masked", F.posexplode(depths).alias("step", "depth"))
-        .select("bucket", "masked", "step", leading(F.col("depth")).alias("prefix"))
-    )
-    part = ["bucket", "step", "prefix"]
-    crowded = steps.groupBy(*part).count().filter(F.col("count") > limit).drop("count")
-    skip = steps.join(crowded, part, "left_semi").groupBy("bucket", "masked").agg(F.count("*").cast("int").alias("_skip"))
-    depth = F.get(depths, F.coalesce("_skip", F.lit(0)))
-    return (
-        patterns.join(large, "bucket", "left")
-        .join(skip, ["bucket", "masked"], "left")
-        .withColumn("prefix", F.when(F.col("_large"), leading(depth)))
-        .drop("_large", "_skip")
-    )
-
-
 def mine_patterns(
     patterns: DataFrame,
     partition_by: tuple[str, ...] = ("service",),
     ts: str = "ts",
     id_col: str = "id",
     threshold: float = THRESHOLD,
-    bucket_limit: int = BUCKET_LIMIT,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Greedy fold of distinct patterns: adds prefix, is_new, template_no, created_template and template (final).
 
-    Patterns and result are written to the shared folder: both are read by several branches, and the
-    patterns stand for the one pass over the logs.
+    prefix: the first `depth` tokens, NULL at depth 0. Patterns and result are written to the shared folder: both
+    are read by several branches, and the patterns stand for the one pass over the logs.
     """
-    # struct keys compare NULL services as equal
-    stored = materialize(patterns.withColumn("bucket", F.struct(*partition_by, "n_tokens")), "patterns")
-    split = _split_large_buckets(stored.filter("n_tokens > 0"), bucket_limit).drop("bucket", "lone")
-    added = T.StructType.fromDDL(
-        "is_new boolean, template_no int, created_template string, template string"
-    )
-
+    stored = materialize(patterns, "patterns")
+    prefix = F.concat_ws(" ", F.slice(F.split("masked", " "), 1, depth)) if depth else F.lit(None).cast("string")
+    keyed = stored.filter("n_tokens > 0").drop("lone").withColumn("prefix", prefix)
+    added = T.StructType.fromDDL("is_new boolean, template_no int, created_template string, template string")
     group = [*partition_by, "n_tokens", "prefix"]
+    schema = T.StructType(keyed.schema.fields + added.fields)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a bucket waits here until it is complete: at most bucket_limit rows by construction
-        for table, starts in whole_groups(batches, group):
-            texts, widths = table.column("masked").to_pylist(), table.column("n_tokens").to_pylist()
-            number, new, created, final = [], [], [], []
-            for low, high in zip(starts, [*starts[1:], table.num_rows]):
-                known = TemplateSet(widths[low], threshold)
-                for text in texts[low:high]:
-                    i, is_new = known.add(text.split(" "))
-                    number.append(i)
-                    new.append(is_new)
-                    created.append(known.text(i) if is_new else None)
-                last = [known.text(i) for i in range(known.size)]
-                final.extend(last[i] for i in number[low:high])
+        known, last, layout = None, None, to_arrow_schema(schema)
+
+        def catalogue() -> pa.RecordBatch:
+            # a row per template of a finished bucket: its key, number and final text, all else null
+            texts = [known.text(i) for i in range(known.size)]
+            take = pa.array([0] * known.size, pa.int32())
+            columns = []
+            for f in layout:
+                if f.name in group:
+                    columns.append(last.column(f.name).take(take))
+                elif f.name == "template_no":
+                    columns.append(pa.array(range(known.size), f.type))
+                else:
+                    columns.append(pa.array(texts, f.type) if f.name == "template" else pa.nulls(known.size, f.type))
+            return pa.RecordBatch.from_arrays(columns, schema=layout)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = set(group_changes(batch, group, last).tolist())
+            number, new, created = [], [], []
+            widths, finished = batch.column("n_tokens"), []
+            for k, text in enumerate(batch.column("masked").to_pylist()):
+                if k in cuts or known is None:
+                    if known is not None:
+                        finished.append(catalogue())
+                    known, last = TemplateSet(widths[k].as_py(), threshold), batch.slice(k, 1)
+                i, is_new = known.add(text.split(" "))
+                number.append(i)
+                new.append(is_new)
+                created.append(known.text(i) if is_new else None)
             columns = (
                 pa.array(new, pa.bool_()), pa.array(number, pa.int32()), pa.array(created, pa.string()),
-                pa.array(final, pa.string()),
+                pa.nulls(batch.num_rows, pa.string()),
             )
-            for field, column in zip(added.names, columns):
-                table = table.append_column(field, column)
-            yield from table.to_batches()
-
-    folded = (
-        split.repartition(*group)
+            out = batch
+            for name, column in zip(added.names, columns):
+                out = out.append_column(name, column)
+            yield out.cast(layout)
+            yield from finished
+        if known is not None:
+            yield catalogue()
+
+    folded = materialize(
+        keyed.repartition(*group)
         .sortWithinPartitions(*group, F.col(f"first.{ts}"), F.col(f"first.{id_col}"))
-        .mapInArrow(fold, T.StructType(split.schema.fields + added.fields))
+        .mapInArrow(fold, schema),
+        "folded",
     )
-    lone = stored.filter("n_tokens = 0").drop("bucket", "lone").select(
+    # struct keys compare NULL services and prefixes as equal
+    key = F.struct(*group, "template_no").alias("_key")
+    final = folded.filter("masked IS NULL").select(key, "template")
+    named = folded.filter("masked IS NOT NULL").drop("template").withColumn("_key", key).join(final, "_key").drop("_key")
+    lone = stored.filter("n_tokens = 0").drop("lone").select(
         "*", F.lit(None).cast("string").alias("prefix"), F.lit(True).alias("is_new"),
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in added.fields[1:]],
     )
-    return materialize(folded.unionByName(lone), "templates")
+    return materialize(named.unionByName(lone), "templates")
 
 
 def mine_templates(
@@ -220,14 +245,14 @@ def mine_templates(
     id_col: str = "id",
     body: str = "body",
     threshold: float = THRESHOLD,
-    bucket_limit: int = BUCKET_LIMIT,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Every log row with its template and whether it founded it.
 
     Adds n_tokens, masked, template (final text, the body for rows without tokens), template_key and is_new.
     """
     patterns = masked_patterns(logs, partition_by, ts, id_col, body)
-    mined = mine_patterns(patterns, partition_by, ts, id_col, threshold, bucket_limit)
+    mined = mine_patterns(patterns, partition_by, ts, id_col, threshold, depth)
     key = F.struct(*partition_by, "n_tokens", "masked").alias("_key")
     per_pattern = mined.filter("n_tokens > 0").select(
         key, "template", "created_template", "prefix", "template_no",
@@ -265,12 +290,12 @@ def dedup_by_template(
     id_col: str = "id",
     body: str = "body",
     threshold: float = THRESHOLD,
-    bucket_limit: int = BUCKET_LIMIT,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Only the first row of each template, body replaced by the template text."""
     patterns = masked_patterns(logs, partition_by, ts, id_col, body)
     return first_of_each_template(
-        mine_patterns(patterns, partition_by, ts, id_col, threshold, bucket_limit), body
+        mine_patterns(patterns, partition_by, ts, id_col, threshold, depth), body
     )
 
 

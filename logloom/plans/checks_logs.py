@@ -140,20 +140,62 @@ def merge_tokens_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # --- template mining ------------------------------------------------------------------------------
 
 
-@query("mine_templates")
+_LINE_ROWS = f"""{ov.LINES}, rows_ AS (
+  SELECT doc_id || ':' || line_no AS id, doc_id * 1000000 + line_no AS ord, service, body FROM lines)"""
+
+_ROWS_OUT = """SELECT t.id, {service} len(t.x)::INTEGER AS n_tokens, coalesce(m.template, t.body) AS template,
+  CASE WHEN len(t.x) = 0 THEN t.body WHEN m.is_new AND m.founder = t.id THEN m.created END AS created_template,
+  len(t.x) = 0 OR (m.is_new AND m.founder = t.id) AS is_new
+FROM toks t LEFT JOIN mined m ON t.b IS NOT DISTINCT FROM m.b AND t.x = m.x"""
+
+_CATALOGUE_OUT = """SELECT b AS service, n::INTEGER AS n_tokens, NULL::VARCHAR AS prefix, no::INTEGER AS template_no, template,
+  sum(n_rows)::BIGINT AS members, count(*) AS patterns FROM mined GROUP BY ALL"""
+
+_DEDUP_OUT = """SELECT t.id, t.b AS service, coalesce(m.created, t.body) AS body, t.body AS raw_body
+FROM toks t LEFT JOIN mined m ON t.b IS NOT DISTINCT FROM m.b AND t.x = m.x WHERE len(t.x) = 0 OR (m.is_new AND m.founder = t.id)"""
+
+
+def _rows(mined: DataFrame) -> DataFrame:
+    return mined.select("id", "service", "n_tokens", "template", "created_template", "is_new")
+
+
+@query(
+    "mine_templates",
+    f"WITH RECURSIVE {ov.LOGS}, {ov.mined('logs', 'ts')} {_ROWS_OUT.format(service='t.b AS service,')}",
+)
 def mine_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return templates.mine_templates(views.logs(spark, sf)).select(
-        "id", "service", "n_tokens", "template", "created_template", "is_new"
-    )
+    return _rows(templates.mine_templates(views.logs(spark, sf)))
 
 
-@query("mine_line_templates")
+@query(
+    "mine_family_templates",
+    f"WITH RECURSIVE {ov.FAMILIES}, {ov.mined('families', 'ts')} {_ROWS_OUT.format(service='t.b AS service,')}",
+)
+def mine_family_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(templates.mine_templates(views.family_logs(spark, sf)))
+
+
+@query(
+    "mine_global_templates",
+    f"WITH RECURSIVE {ov.FAMILIES}, {ov.mined('families', 'ts', by='0')} {_ROWS_OUT.format(service='')}",
+)
+def mine_global_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """One template set over all services."""
+    return _rows(templates.mine_templates(views.family_logs(spark, sf), ())).drop("service")
+
+
+@query("mine_line_templates", f"WITH RECURSIVE {_LINE_ROWS}, {ov.mined('rows_', 'ord')} {_CATALOGUE_OUT}")
 def mine_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     mined = templates.mine_patterns(templates.masked_patterns(views.doc_lines(spark, sf)))
     return templates.template_catalogue(mined)
 
 
-@query("dedup_by_template")
+@query("family_catalogue", f"WITH RECURSIVE {ov.FAMILIES}, {ov.mined('families', 'ts')} {_CATALOGUE_OUT}")
+def family_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.template_catalogue(templates.mine_patterns(templates.masked_patterns(views.family_logs(spark, sf))))
+
+
+@query("dedup_by_template", f"WITH RECURSIVE {_LINE_ROWS}, {ov.mined('rows_', 'ord')} {_DEDUP_OUT}")
 def dedup_by_template(spark: SparkSession, sf: str) -> DataFrame:
     return templates.dedup_by_template(views.doc_lines(spark, sf)).select("id", "service", "body", "raw_body")
 
@@ -172,15 +214,24 @@ def template_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("ingest_template_mode")
+@query(
+    "ingest_template_mode",
+    f"WITH RECURSIVE {ov.LOGS}, {ov.mined('logs', 'ts')} SELECT l.id AS source_id, l.service, l.severity, m.created AS body, {EMBED_DIM} AS dim "
+    "FROM mined m JOIN logs l ON m.founder = l.id WHERE m.is_new",
+)
 def ingest_template_mode(spark: SparkSession, sf: str) -> DataFrame:
     records, _ = ingest(views.logs(spark, sf), em.HashEmbedder(EMBED_DIM))
-    return records.select("id", "service", "severity", "body", F.size("vector").alias("dim"))
+    return records.select("source_id", "service", "severity", "body", F.size("vector").alias("dim"))
 
 
-@query("ingest_stats_template")
+@query(
+    "ingest_stats_template",
+    f"WITH RECURSIVE {ov.FAMILIES}, {ov.mined('families', 'ts')} SELECT sum(is_new::INT)::BIGINT AS ingested, "
+    "sum(n_rows - is_new::INT)::BIGINT AS deduplicated, 0::BIGINT AS filtered FROM mined",
+)
 def ingest_stats_template(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest(views.logs(spark, sf), em.HashEmbedder(EMBED_DIM))[1]
+    logs = views.family_logs(spark, sf).withColumn("severity", F.lit("info"))
+    return ingest(logs, em.HashEmbedder(EMBED_DIM))[1]
 
 
 @query(

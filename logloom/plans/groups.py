@@ -6,8 +6,6 @@ sorted by group instead, and one call walks through all groups of a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,23 +24,3 @@ def group_changes(batch: pa.RecordBatch, names: list[str], previous: pa.RecordBa
         batch.column(n)[0].as_py() != previous.column(n)[0].as_py() for n in names
     )
     return np.flatnonzero(change)
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of complete groups with the start of each; the rows of the open group wait for its end."""
-    open_rows: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cuts = group_changes(b, names, open_rows[0] if open_rows else None)
-        if not len(cuts):
-            open_rows.append(b)
-            continue
-        waiting = sum(r.num_rows for r in open_rows)
-        table = pa.Table.from_batches([*open_rows, b.slice(0, int(cuts[-1]))])
-        starts = np.concatenate([[0], cuts[:-1] + waiting])
-        open_rows = [b.slice(int(cuts[-1]))]
-        if table.num_rows:
-            yield table, starts
-    if open_rows:
-        yield pa.Table.from_batches(open_rows), np.zeros(1, dtype=np.int64)

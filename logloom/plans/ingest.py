@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.embed import Embedder, embed
 from logloom.operators.ingest_filter import check_mode, filter_severity, ingest_outcome, ingest_stats
-from logloom.operators.templates import BUCKET_LIMIT, THRESHOLD, first_of_each_template, masked_patterns, mine_patterns
+from logloom.operators.templates import DEPTH, THRESHOLD, first_of_each_template, masked_patterns, mine_patterns
 from logloom.sources.vector_table import record_id
 
 
@@ -18,7 +18,7 @@ def ingest(
     min_severity: str | None = None,
     template_threshold: float = THRESHOLD,
     partition_by: tuple[str, ...] = ("service",),
-    bucket_limit: int = BUCKET_LIMIT,
+    depth: int = DEPTH,
 ) -> tuple[DataFrame, DataFrame]:
     """Vector records of a batch of logs, and one row of ingested, deduplicated and filtered counts.
 
@@ -27,7 +27,7 @@ def ingest(
     mode = check_mode(mode)
     if mode == "template":
         mined = mine_patterns(
-            masked_patterns(logs, partition_by), partition_by, threshold=template_threshold, bucket_limit=bucket_limit
+            masked_patterns(logs, partition_by), partition_by, threshold=template_threshold, depth=depth
         )
         kept = first_of_each_template(mined)
         new = F.when(F.col("is_new"), 1).otherwise(0)

@@ -84,3 +84,46 @@ def byte_prefix(text: str, n: int) -> str:
         f"left({text}, CAST(list_count(list_filter(range(1, least(length({text}), {n}) + 1), "
         f"lambda i: strlen(left({text}, i)) <= {n})) AS BIGINT))"
     )
+
+
+FAMILIES = """families AS (
+  SELECT event_id AS id, ts, 'svc-' || (user_id % 5) AS service,
+         CASE event_id % 4 WHEN 0 THEN 'connection to host' || (user_id % 40) || 'x refused'
+                           WHEN 1 THEN event_type || ' job' || (user_id % 30) || 'x took long on node' || (event_id % 7) || 'x'
+                           WHEN 2 THEN 'worker' || (event_id % 9) || 'x of pool' || (user_id % 3) || 'x started by ' || event_type || ' at ' || event_id
+                           ELSE event_type || ' cache' || (user_id % 4) || 'x warm and ready for shard' || (event_id % 11) || 'x' END AS body
+  FROM events)"""
+
+
+def mined(source: str, order: str, by: str = "service", threshold: float = 0.7) -> str:
+    """CTEs `pats`, `steps` and `final` of the greedy template fold over a view with id and body.
+
+    pats: one row per masked pattern of a bucket in the order of its first row, with that row's id; steps: what became of
+    each; final: the templates of a bucket in the end. Rows without tokens take no part. To be used after WITH RECURSIVE.
+    """
+    return f"""toks AS (
+  SELECT id, {order} AS o, {by} AS b, body, {masked('body')} AS x FROM {source}
+), pats AS (
+  SELECT *, row_number() OVER (PARTITION BY b, n ORDER BY first) AS k FROM (
+    SELECT b, len(x) AS n, x, count(*) AS n_rows, min(row(o, id)) AS first, arg_min(id, row(o, id)) AS founder
+    FROM toks WHERE len(x) > 0 GROUP BY ALL)
+), steps AS (
+  SELECT DISTINCT b, n, 0::BIGINT AS k, []::VARCHAR[][] AS tpl, NULL::BIGINT AS no, NULL::BOOLEAN AS is_new FROM pats
+  UNION ALL
+  SELECT b, n, k, CASE WHEN hit THEN list_transform(tpl, lambda t, j: CASE WHEN j = best
+           THEN list_transform(t, lambda w, i: CASE WHEN w = x[i] THEN w ELSE '<*>' END) ELSE t END) ELSE list_append(tpl, x) END,
+         CASE WHEN hit THEN best - 1 ELSE len(tpl) END, NOT hit
+  FROM (
+    SELECT *, coalesce(top > 0 AND top::DOUBLE / n >= {threshold}::DOUBLE, false) AS hit, list_position(scores, top) AS best FROM (
+      SELECT *, list_max(scores) AS top FROM (
+        SELECT s.b, s.n, p.k, s.tpl, p.x, list_transform(s.tpl, lambda t: list_sum(list_transform(t, lambda w, i:
+                 CASE WHEN w = '<*>' OR w = p.x[i] THEN 1 ELSE 0 END))) AS scores
+        FROM steps s JOIN pats p ON s.b IS NOT DISTINCT FROM p.b AND s.n = p.n AND p.k = s.k + 1)))
+), final AS (
+  SELECT b, n, tpl FROM (SELECT *, max(k) OVER (PARTITION BY b, n) AS last FROM steps) WHERE k = last
+), mined AS (
+  SELECT p.*, s.no, s.is_new, array_to_string(f.tpl[s.no + 1], ' ') AS template,
+         CASE WHEN s.is_new THEN array_to_string(p.x, ' ') END AS created
+  FROM pats p JOIN steps s ON p.b IS NOT DISTINCT FROM s.b AND p.n = s.n AND p.k = s.k
+  JOIN final f ON p.b IS NOT DISTINCT FROM f.b AND p.n = f.n
+)"""

@@ -63,6 +63,21 @@ def as_logs(rows: DataFrame) -> DataFrame:
     )
 
 
+def family_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log row per event, in families of bodies that merge partly."""
+    def word(name: str, value, rest: str = "x"):
+        return F.concat(F.lit(name), value.cast("string"), F.lit(rest))
+
+    user, event = F.col("user_id"), F.col("event_id")
+    body = (
+        F.when(event % 4 == 0, word("connection to host", user % 40, "x refused"))
+        .when(event % 4 == 1, F.concat_ws(" ", "event_type", word("job", user % 30, "x took long on"), word("node", event % 7)))
+        .when(event % 4 == 2, F.concat_ws(" ", word("worker", event % 9), F.lit("of"), word("pool", user % 3, "x started by"), "event_type", word("at ", event, "")))
+        .otherwise(F.concat_ws(" ", "event_type", word("cache", user % 4, "x warm and ready for"), word("shard", event % 11)))
+    )
+    return events(spark, sf_dir).select(event.alias("id"), "ts", F.concat(F.lit("svc-"), (user % 5).cast("string")).alias("service"), body.alias("body"))
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a log row; the source is the service, (document, line) the order."""
     return (

@@ -76,32 +76,51 @@ def test_fixed_sequence(spark):
     assert [r.template for r in rows] == ["connection refused to <*>"] * 2 + ["timeout waiting for response"] + ["user <*> logged in from <*>"] * 2
 
 
-def test_large_buckets_are_divided_and_nothing_is_lost(spark):
-    rows = [(i, i, "s", f"job {chr(97 + i % 20)}x{chr(97 + i // 20)} state w{chr(97 + i % 7)}") for i in range(300)]
+def family_catalogue(spark, extra):
+    """Templates of 60 similar bodies, alone or among unrelated rows of the same service and length."""
+    rows = [(i, i, "s", f"w{chr(97 + i % 26)}{chr(97 + i // 26)} said hello to the world") for i in range(60)]
+    rows += [(i, i, "s", " ".join(f"{c}{i:x}q" for c in "uvwxyz")) for i in range(1000, 1000 + extra)]
     df = spark.createDataFrame(rows, "ts int, id int, service string, body string")
-    mined = templates.mine_patterns(templates.masked_patterns(df), threshold=0.9, bucket_limit=25)
-    sizes = mined.groupBy("service", "n_tokens", "prefix").agg(F.count("*").alias("n")).collect()
-    assert max(r.n for r in sizes) <= 25 and len(sizes) > 1
-    assert mined.agg(F.sum("n_rows")).first()[0] == 300
+    mined = templates.mine_patterns(templates.masked_patterns(df))
+    return {(r.template, r.members) for r in templates.template_catalogue(mined).collect() if "hello" in r.template}
 
 
-def test_divided_buckets_hold_even_when_only_the_tail_differs(spark):
-    rows = [(i, i, "s", "a b c d e " + chr(97 + i % 26) + chr(97 + i // 26)) for i in range(100)]
-    df = spark.createDataFrame(rows, "ts int, id int, service string, body string")
-    mined = templates.mine_patterns(templates.masked_patterns(df), bucket_limit=10)
-    assert mined.count() == 100
-    assert mined.groupBy("prefix").count().agg(F.max("count")).first()[0] <= 10
+def test_unrelated_rows_change_no_template(spark):
+    want = {("<*> said hello to the world", 60)}
+    assert family_catalogue(spark, 0) == want
+    assert family_catalogue(spark, 30_000) == want
 
 
-def test_only_crowded_prefixes_go_deeper(spark):
-    """Half of a large bucket shares its first tokens; the rest stays whole per first token."""
+def test_depth_holds_for_every_bucket(spark):
     rows = [(i, i, "s", f"same start of {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
-    rows += [(i, i, "s", f"{'xyz'[i % 3]} b{chr(97 + i % 26)} c{chr(97 + i // 26)} d") for i in range(100, 160)]
+    rows += [(i, i, None, f"{'xyz'[i % 3]} start of {chr(97 + i % 26)}") for i in range(100, 160)]
     df = spark.createDataFrame(rows, "ts int, id int, service string, body string")
-    mined = templates.mine_patterns(templates.masked_patterns(df), bucket_limit=30)
-    prefixes = {r.prefix: r.n for r in mined.groupBy("prefix").agg(F.count("*").alias("n")).collect()}
-    assert {p: n for p, n in prefixes.items() if p[0] in "xyz"} == {"x": 20, "y": 20, "z": 20}
-    assert len([p for p in prefixes if p.startswith("same start of ")]) == 60
+    mined = templates.mine_patterns(templates.masked_patterns(df, ()), (), depth=1, threshold=0.5)
+    got = {(r.prefix, r.template, r.members) for r in templates.template_catalogue(mined, ()).collect()}
+    assert got == {("same", "same start of <*>", 60)} | {(c, f"{c} start of <*>", 20) for c in "xyz"}
+
+
+def test_index_finds_what_a_full_comparison_finds():
+    rnd = random.Random(5)
+    for threshold in (0.3, 0.5, 0.7):
+        known, plain = templates.TemplateSet(5, threshold, capacity=40), []
+        for _ in range(600):
+            tokens = [rnd.choice(["a", "b", "c", "d", "<*>"]) + (rnd.choice(["", "x", "y"]) if rnd.random() < 0.5 else "") for _ in range(5)]
+            tokens = ["<*>" if t.startswith("<*>") else t for t in tokens]
+            score, best = max(((sum(b == "<*>" or a == b and a != "<*>" for a, b in zip(tokens, t[0])) / 5, -k) for k, t in enumerate(plain)), default=(0, 0))
+            i, is_new = known.add(tokens)
+            if score > 0 and score >= threshold:
+                assert (i, is_new) == (-best, False)
+                t = plain[-best]
+                t[0], t[1] = [b if a == b or b == "<*>" else "<*>" for a, b in zip(tokens, t[0])], t[1] + 1
+            else:
+                if len(plain) == 40:
+                    worst = min(range(40), key=lambda k: plain[k][1])
+                    plain[worst] = plain[-1]
+                    plain.pop()
+                plain.append([tokens, 1])
+                assert (i, is_new) == (len(plain) - 1, True)
+        assert [known.text(i) for i in range(known.size)] == [" ".join(t) for t, _ in plain]
 
 
 def test_capacity_evicts_the_least_used():
