@@ -347,10 +347,32 @@ def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     return views.as_logs(views.event_stream(spark, sf))
 
 
-@query("stream_dedup")
+def _family_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return views.as_family_logs(views.event_stream(spark, sf))
+
+
+@query(
+    "stream_dedup",
+    f"WITH RECURSIVE {ov.FAMILIES}, {ov.mined('families', 'ts')} SELECT t.id, t.b AS service, m.created AS body, t.body AS raw_body "
+    "FROM mined m JOIN toks t ON m.founder = t.id WHERE m.is_new",
+)
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Founding rows of the templates of the log stream."""
-    return run_available(stream_template_dedup(_log_stream(spark, sf)), "stream-dedup").select("id", "service", "body", "raw_body")
+    return run_available(stream_template_dedup(_family_stream(spark, sf)), "stream-dedup").select("id", "service", "body", "raw_body")
+
+
+@query(
+    "stream_ingest_stats",
+    f"WITH RECURSIVE {ov.FAMILIES}, {ov.mined('families', 'ts')} SELECT sum(is_new::INT)::BIGINT AS ingested, "
+    "sum(n_rows - is_new::INT)::BIGINT AS deduplicated, 0::BIGINT AS filtered FROM mined",
+)
+def stream_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of the rows of the log stream, over all its micro-batches."""
+    path = new_table_path(spark, "stream-stats")
+    logs = _family_stream(spark, sf).withColumn("severity", F.lit("info"))
+    writer = stream_ingest(logs, HashEmbedder(16), f"{path}/table", f"{path}/checkpoint", stats_path=f"{path}/stats")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/stats").agg(*(F.sum(c).alias(c) for c in ("ingested", "deduplicated", "filtered")))
 
 
 @query(

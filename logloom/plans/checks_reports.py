@@ -321,7 +321,7 @@ def stream_admissions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "manual").otherwise("webhook").alias("trigger"),
         F.concat(F.lit("check user "), F.col("user_id").cast("string")).alias("query"), F.col("ts").alias("create_time"),
     )
-    out = run_available(stream_admission(requests, DAY), "stream-admission")
+    out = run_available(stream_admission(requests, DAY, ttl_seconds=None), "stream-admission")
     return out.select("id", "admitted", F.coalesce(F.col("blocked_by").cast("bigint"), F.lit(-1)).alias("blocked_by"))
 
 

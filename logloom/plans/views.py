@@ -65,6 +65,12 @@ def as_logs(rows: DataFrame) -> DataFrame:
 
 def family_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log row per event, in families of bodies that merge partly."""
+    return as_family_logs(events(spark, sf_dir))
+
+
+def as_family_logs(rows: DataFrame) -> DataFrame:
+    """Family rows of an event table or stream."""
+
     def word(name: str, value, rest: str = "x"):
         return F.concat(F.lit(name), value.cast("string"), F.lit(rest))
 
@@ -75,7 +81,7 @@ def family_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(event % 4 == 2, F.concat_ws(" ", word("worker", event % 9), F.lit("of"), word("pool", user % 3, "x started by"), "event_type", word("at ", event, "")))
         .otherwise(F.concat_ws(" ", "event_type", word("cache", user % 4, "x warm and ready for"), word("shard", event % 11)))
     )
-    return events(spark, sf_dir).select(event.alias("id"), "ts", F.concat(F.lit("svc-"), (user % 5).cast("string")).alias("service"), body.alias("body"))
+    return rows.select(event.alias("id"), "ts", F.concat(F.lit("svc-"), (user % 5).cast("string")).alias("service"), body.alias("body"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from logloom.operators.ingest_filter import check_mode
 from logloom.plans.ingest import ingest
 from logloom.session import new_table_path
 from logloom.sources.vector_table import write_vectors
-from logloom.streaming.dedup import WATERMARK, stream_template_dedup
+from logloom.streaming.dedup import WATERMARK, stream_template_outcomes
 
 
 def stream_ingest(
@@ -21,20 +21,35 @@ def stream_ingest(
     checkpoint: str,
     mode: str = "template",
     min_severity: str | None = None,
+    stats_path: str | None = None,
 ) -> DataStreamWriter:
     """Writer that ingests a log stream into a vector table; start it with a trigger of your choice.
 
-    Template state lives in the stream; each micro-batch of survivors is embedded and lands in its own
-    folder, so a batch that is repeated after a failure overwrites itself.
+    Template state lives in the stream, late rows included; each micro-batch of survivors is embedded and lands in its
+    own folder, so a batch that is repeated after a failure overwrites itself. With `stats_path` the ingested,
+    deduplicated and filtered rows of each micro-batch are written there, one row per batch.
     """
-    survivors = stream_template_dedup(logs) if check_mode(mode) == "template" else logs
-    batch_mode = "all" if mode == "template" else mode
+    by_template = check_mode(mode) == "template"
+    outcomes = stream_template_outcomes(logs) if by_template else logs
+    batch_mode = "all" if by_template else mode
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        records, _ = ingest(batch, embedder, batch_mode, min_severity)
-        write_vectors(records, f"{path}/batch={batch_id}", "overwrite")
-
-    return survivors.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        batch.persist()
+        try:
+            rows = batch.filter("deduplicated = 0").drop("deduplicated") if by_template else batch
+            records, stats = ingest(rows, embedder, batch_mode, min_severity)
+            write_vectors(records, f"{path}/batch={batch_id}", "overwrite")
+            if stats_path is not None:
+                if by_template:
+                    repeats = batch.agg(F.coalesce(F.sum("deduplicated"), F.lit(0)).alias("repeats"))
+                    stats = stats.crossJoin(repeats).select(  # one row each
+                        "ingested", (F.col("deduplicated") + F.col("repeats")).alias("deduplicated"), "filtered"
+                    )
+                stats.coalesce(1).write.mode("overwrite").parquet(f"{stats_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return outcomes.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
 def observe_ingest(logs: DataFrame, name: str = "ingest") -> DataFrame:

@@ -45,16 +45,16 @@ def log_stream(spark, rows, path, parts):
 
 
 def test_template_dedup_in_order(spark, tmp_path):
-    """Without the pre-stage the founding rows are those of the batch job."""
+    """The founding rows are those of the batch job."""
     stream, batch = log_stream(spark, log_rows(), str(tmp_path / "in"), 3)
-    got = ingest.run_available(dedup.stream_template_dedup(stream, drop_repeats_within=None), "test-dedup").collect()
+    got = ingest.run_available(dedup.stream_template_dedup(stream), "test-dedup").collect()
     want = templates.dedup_by_template(batch).collect()
     assert sorted((r.id, r.service, r.body) for r in got) == sorted((r.id, r.service, r.body) for r in want)
 
 
-def test_template_dedup_after_dropping_repeats(spark, tmp_path):
+def test_template_dedup_of_families(spark, tmp_path):
     stream, batch = log_stream(spark, family_rows(), str(tmp_path / "in"), 3)
-    got = ingest.run_available(dedup.stream_template_dedup(stream, drop_repeats_within="10 days"), "test-dedup").collect()
+    got = ingest.run_available(dedup.stream_template_dedup(stream), "test-dedup").collect()
     want = templates.dedup_by_template(batch).collect()
     assert sorted((r.service, r.body) for r in got) == sorted((r.service, r.body) for r in want)
 
@@ -63,10 +63,47 @@ def test_capacity_bounds_the_state(spark, tmp_path):
     rows = [(i, i, "s", "info", f"a{chr(97 + i)} b{chr(97 + i)}") for i in range(6)] + [(9, 9, "s", "info", "aa ba")]
     path = str(tmp_path / "in")
     stream, _ = log_stream(spark, rows, path, 7)
-    got = ingest.run_available(dedup.stream_template_dedup(stream, capacity=3, drop_repeats_within=None), "test-capacity")
+    got = ingest.run_available(dedup.stream_template_dedup(stream, capacity=3), "test-capacity")
     assert got.count() == 7  # the first template was evicted, so its repeat is new again
 
 
+def test_late_rows_are_not_lost(spark, tmp_path):
+    """Out of order micro-batches at default arguments; a late row founds a template nobody has seen."""
+    rows = [(0, 100_000, "a", "info", "user 1 logged in"), (1, 200_000, "a", "info", "cache miss"), (2, 50, "a", "error", "disk 3 full at 9"), (3, 300_000, "a", "info", "user 7 logged in"), (4, 60, "a", "info", "cache miss")]
+    stream, batch = log_stream(spark, rows, str(tmp_path / "in"), 5)
+    got = ingest.run_available(dedup.stream_template_dedup(stream), "test-late").collect()
+    assert sorted((r.service, r.body) for r in got) == sorted((r.service, r.body) for r in templates.dedup_by_template(batch).collect())
+    assert sorted(r.id for r in got) == [0, 1, 2]
+
+
+def test_stream_counts_and_catalogue(spark, tmp_path):
+    rows = family_rows(120)
+    out, stats, checkpoint = (str(tmp_path / x) for x in ("out", "stats", "cp"))
+    stream, batch = log_stream(spark, rows, str(tmp_path / "in"), 4)
+    writer = ingest.stream_ingest(stream, HashEmbedder(8), out, checkpoint, stats_path=stats)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    total = spark.read.parquet(stats).agg(F.sum("ingested"), F.sum("deduplicated"), F.sum("filtered"), F.count("*")).first()
+    mined = templates.mine_patterns(templates.masked_patterns(batch))
+    new = mined.filter("is_new").count()
+    assert tuple(total) == (new, len(rows) - new, 0, 4)
+    want = {(r.template, r.members) for r in templates.template_catalogue(mined).collect()}
+    assert {(r.template, r.members) for r in dedup.stream_catalogue(spark, checkpoint).collect()} == want
+
+
+def test_late_requests(spark, tmp_path):
+    """A late row is blocked only by what was admitted in the window before it."""
+    path = str(tmp_path / "in")
+    rows = [(100_000, 0), (50_000, 1), (100_001, 2), (100_400, 3), (100_200, 4), (49_999, 5)]
+    schema = write_parts(spark, rows, "s long, id int", path, 6)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).select(
+        "id", F.lit("manual").alias("trigger"), F.lit("q").alias("query"), F.timestamp_seconds("s").alias("create_time")
+    )
+    got = ingest.run_available(stream_admission(stream, 300, ttl_seconds=None, delay_seconds=100_000), "test-late").collect()
+    assert {r.id: (r.admitted, r.blocked_by, r.late) for r in got} == {
+        0: (True, None, False), 1: (True, None, True), 2: (False, "0", False), 3: (True, None, False), 4: (False, "0", True), 5: (True, None, True),
+    }
+
+
 def test_admission(spark, tmp_path):
     rnd = random.Random(3)
     rows = sorted((rnd.randrange(3000), i, rnd.choice(["hot", "hot", "q"])) for i in range(400))
@@ -77,11 +114,11 @@ def test_admission(spark, tmp_path):
         return df.select("id", F.lit("manual").alias("trigger"), "query", F.timestamp_seconds("s").alias("create_time"))
 
     stream = requests(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
-    got = ingest.run_available(stream_admission(stream, 20), "test-admission").collect()
+    got = ingest.run_available(stream_admission(stream, 20, ttl_seconds=None), "test-admission").collect()
     want = admission.admit_requests(requests(spark.read.parquet(path)), 20).collect()
     assert {r.id: (r.admitted, r.blocked_by and int(r.blocked_by)) for r in got} == {r.id: (r.admitted, r.blocked_by) for r in want}
     with pytest.raises(ValueError, match="outlive"):
-        stream_admission(stream, 20, 10)
+        stream_admission(stream, 20, ttl_seconds=10)
 
 
 def test_ingest_into_vector_table(spark, tmp_path):
