@@ -14,27 +14,27 @@ and backward recursions over its texts and returns the expected counts, which ar
 Training sequences are runs of at most `SEGMENT` words, all of all training texts. Scoring is the exact scaled forward
 recursion over whole texts.
 
-Words meet their counts without a row per word and text: texts are dealt into batches by their id, each batch asks for the
-counts of its distinct words once, and batch and answers meet in a cogroup. The number of batches follows the bytes of the
-input, so batches keep their size.
+Words meet their counts without a row per word and text: runs of texts are batches of a bounded size, each batch asks for the
+counts of its distinct words once, and batch and answers meet in a cogroup. Batches are written when they are numbered, so
+their numbers hold whatever is computed again.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.llm.common import bucket_of_id, id_and_bytes, map_rows, materialize, table
 
-STATES, HEAD_WORDS, TAIL_CLASSES, ROUNDS, SEGMENT = 8, 3000, 1024, 5, 256
+STATES, HEAD_WORDS, TAIL_CLASSES, ROUNDS, SEGMENT = 8, 3000, 1024, 4, 256
 #: Texts that the first emissions are taken from.
 SEEDS = 400
 #: Bytes of text of a batch that is scored at once, about.
@@ -122,25 +122,26 @@ class Chain:
     def expected(self, ids: np.ndarray, lengths: np.ndarray, first: np.ndarray, into: np.ndarray) -> None:
         """Add the expected counts of one Baum-Welch step to `into`: starts, moves, then emissions by state."""
         steps, k = len(ids), len(self.start)
-        by_class = np.ascontiguousarray(self.emit.T)
+        single = np.float32  # enough for counts of scaled probabilities; sums over sequences are double
+        by_class, move = np.ascontiguousarray(self.emit.T, single), self.move.astype(single)
         alive = np.searchsorted(-lengths, -np.arange(steps + 1), side="left").tolist()
         likely = by_class[ids]
-        alphas, scales = np.zeros((steps, len(lengths), k)), np.ones((steps, len(lengths)))
-        alpha = np.tile(self.start, (len(lengths), 1))
+        alphas, scales = np.zeros((steps, len(lengths), k), single), np.ones((steps, len(lengths)), single)
+        alpha = np.tile(self.start.astype(single), (len(lengths), 1))
         for t in range(steps):
             n = alive[t]
-            alpha = (alpha[:n] @ self.move if t else alpha) * likely[t, :n]
+            alpha = (alpha[:n] @ move if t else alpha) * likely[t, :n]
             scale = alpha.sum(1)
             alpha = alpha / scale[:, None]
             alphas[t, :n], scales[t, :n] = alpha, scale
-        beta = np.ones((len(lengths), k))
+        beta = np.ones((len(lengths), k), single)
         moves = np.zeros((k, k))
         for t in range(steps - 1, -1, -1):
             n, after = alive[t], alive[t + 1] if t + 1 < steps else 0
             if after:
                 ahead = beta[:after] * likely[t + 1, :after] / scales[t + 1, :after, None]
                 moves += alphas[t, :after].T @ ahead
-                beta[:after] = ahead @ self.move.T
+                beta[:after] = ahead @ move.T
             alphas[t, :n] *= beta[:n]  # now the probability of each state
         into[:k] += alphas[0][first > 0].sum(0)
         into[k : k + k * k] += (moves * self.move).ravel()
@@ -274,10 +275,18 @@ def score_texts(
     chain = train_chain(train, classes, per[:, 0].astype(float), states, rounds)
     model = spark.sparkContext.broadcast((chain, per))
 
-    size = texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    batches = max(1, math.ceil(size / batch_bytes))
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
-    asked = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("word", T.BinaryType())])
+    batched = T.StructType([*texts.schema.fields, T.StructField("batch", T.LongType())])
+
+    def number(rows: Iterator[tuple]) -> Iterator[tuple]:
+        batch, held = TaskContext.get().partitionId() << 32, 0
+        for doc_id, text in rows:
+            yield doc_id, text, batch
+            held += len(text) + 64
+            if held >= batch_bytes:
+                batch, held = batch + 1, 0
+
+    gathered = materialize(map_rows(texts, batched, number, size=256), "batches")
+    asked = T.StructType([T.StructField("batch", T.LongType()), T.StructField("word", T.BinaryType())])
 
     def ask(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen: dict[int, set] = {}
@@ -294,8 +303,6 @@ def score_texts(
         for b, words in seen.items():
             yield from ((b, w) for w in words)
 
-    # batches are made whole first, so that a batch asks for each of its words once
-    gathered = materialize(dealt.repartition(batches, "batch"), "batches")
     wanted = map_rows(gathered.select("text", "batch"), asked, ask, size=16384)
     answers = wanted.join(counts, "word").select("batch", "word", "c")
     out = T.StructType(
@@ -306,18 +313,24 @@ def score_texts(
     )
 
     def score(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        c_of = dict(zip(found["word"], found["c"], strict=True))
-        tokens = [words_of(t) for t in mine["text"]]
         chain, per = model.value
+        tokens = [words_of(t) for t in mine["text"]]
         lengths = np.array([len(t) for t in tokens], np.int64)
         order = np.argsort(-lengths, kind="stable")
-        c = np.fromiter([c_of.get(w, 0) for t in tokens for w in t], np.int64)
-        kinds = [sent.value.of(t) for t in tokens]
-        flat = np.concatenate(kinds) if kinds else np.zeros(0, np.int64)
-        own = np.log10((c + ALPHA) / (per[flat, 0] + ALPHA * (per[flat, 1] + 1)))
-        base = np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
+        words = list(dict.fromkeys(w for t in tokens for w in t))
+        place = dict(zip(words, range(len(words)), strict=True))
+        counts = np.zeros(len(words), np.int64)
+        counts[list(map(place.__getitem__, found["word"]))] = found["c"].to_numpy()
+        kind = sent.value.of(words)
+        own_of = np.log10((counts + ALPHA) / (per[kind, 0] + ALPHA * (per[kind, 1] + 1)))
+        base_of = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
+        at = [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in tokens]
+        del tokens, place, words
+        kinds = [kind[x] for x in at]
+        flat = np.concatenate(at)
+        c, own, base = counts[flat], own_of[flat], base_of[flat]
         first = np.cumsum(lengths) - lengths
-        path = np.zeros(len(tokens))
+        path = np.zeros(len(at))
         for part in _slabs(order, lengths):
             ids, long = _padded([kinds[k] for k in part])
             path[part] = chain.log10(ids, long)
