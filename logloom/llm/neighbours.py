@@ -284,7 +284,7 @@ def search(index: DataFrame, queries: DataFrame, keep: int = KEEP, most_steps: i
                 best = best[d[best] <= worst]
                 for c, v in zip(_ANSWER.names, (query, names[at[best]].tobytes(), d[best].tobytes(), [bytes(z) for z in near[at[best]]]), strict=True):
                     out[c].append(v)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)  # without rows, too
 
     def merged(before: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in _STATE.names}
@@ -301,7 +301,7 @@ def search(index: DataFrame, queries: DataFrame, keep: int = KEEP, most_steps: i
             visit = np.setdiff1d(around, seen, assume_unique=True)
             for c, v in zip(_STATE.names, (r.query_id, r.vec, ids[order].tobytes(), dists[order].tobytes(), seen.tobytes(), visit.tobytes()), strict=True):
                 out[c].append(v)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)  # without rows, too
 
     for _ in range(most_steps):
         asked = map_rows(state.where(F.octet_length("visit") > 0), _ASK, ask, size=512)
