@@ -630,3 +630,46 @@ def any_value_numbers(spark: SparkSession, sf: str) -> DataFrame:
         F.from_json(F.concat(F.lit('{"doubleValue":'), F.col("value").cast("string"), F.lit("}")), "stringValue string, intValue string, doubleValue double, boolValue boolean").alias("v"),
     )
     return v.select("event_id", payloads.any_value_text(F.col("v")).alias("shown"))
+
+
+_BROKEN = """SELECT event_id AS id, CASE event_id % 5
+  WHEN 0 THEN '{"resourceLogs": [' WHEN 1 THEN '{"resourceLogs": "' || event_type || '"}' WHEN 2 THEN NULL
+  ELSE '{"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": "' || event_type || '", "body": {"stringValue": "a"}}, {"body": {"intValue": "' || user_id || '"}}]}]}]}'
+  END AS payload FROM events"""
+
+
+def _broken(spark: SparkSession, sf: str) -> DataFrame:
+    """OTLP documents with two records each, some of them broken."""
+    kind = F.lit('"'), F.col("event_type")
+    good = F.concat(
+        F.lit('{"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": "'), kind[1],
+        F.lit('", "body": {"stringValue": "a"}}, {"body": {"intValue": "'), F.col("user_id").cast("string"), F.lit('"}}]}]}]}'),
+    )
+    step = F.col("event_id") % 5
+    payload = (
+        F.when(step == 0, '{"resourceLogs": [').when(step == 1, F.concat(F.lit('{"resourceLogs": "'), kind[1], kind[0], F.lit("}")))
+        .when(step > 2, good)
+    )
+    return views.events(spark, sf).select(F.col("event_id").alias("id"), payload.alias("payload"))
+
+
+@query(
+    "otlp_rejects",
+    f"""WITH b AS ({_BROKEN}) SELECT CASE id % 5 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no list at $.resourceLogs' ELSE 'null' END AS reason,
+      coalesce(payload, '') AS payload, count(*) AS documents FROM b WHERE id % 5 < 3 GROUP BY ALL""",
+)
+def otlp_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that give no rows, with the reason."""
+    out = payloads.rejects(_broken(spark, sf), "otlp_logs")
+    return out.groupBy("reason", F.coalesce("payload", F.lit("")).alias("payload")).agg(F.count("*").alias("documents"))
+
+
+@query(
+    "otlp_records_of_mixed_documents",
+    f"""WITH b AS ({_BROKEN}) SELECT severity, body, count(*) AS "rows" FROM (
+      SELECT event_type AS severity, 'a' AS body FROM events WHERE event_id % 5 > 2
+      UNION ALL SELECT '', user_id::VARCHAR FROM events WHERE event_id % 5 > 2) GROUP BY ALL""",
+)
+def otlp_records_of_mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the documents that can be read, several per document."""
+    return payloads.otlp_logs(_broken(spark, sf)).groupBy("severity", "body").agg(F.count("*").alias("rows"))

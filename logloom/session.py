@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +20,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; on a cluster the caller brings its own."""
+def local_session(
+    cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the bench; on a cluster the caller brings its own. shared: spark.checkpoint.dir."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("logloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -41,24 +43,26 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, or a new temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    global _local_folder
-    if _local_folder is None:
-        _local_folder = tempfile.TemporaryDirectory(prefix="logloom-")  # gone with the process
-    return _local_folder.name
+    """Folder for intermediate tables: spark.checkpoint.dir, else the warehouse, which all executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-_local_folder: tempfile.TemporaryDirectory | None = None
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process wrote; results that still read them must be stored before."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """Path of a new table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """Path of a new table in the shared folder; `release` deletes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,11 @@ from logloom import schemas
 from logloom.functions.jsonv import json_document, json_object, json_type
 from logloom.functions.text import double_text, let
 
-_STRICT = {"mode": "PERMISSIVE"}
+_LENIENT = {"mode": "PERMISSIVE"}
+
+#: Where each source keeps its list.
+LISTS = {"otlp_logs": "$.resourceLogs", "loki_streams": "$.data.result", "prom_result": "$.data.result"}
+
 
 
 def any_value_text(value: Column) -> Column:
@@ -24,9 +28,26 @@ def any_value_text(value: Column) -> Column:
     )
 
 
+def rejects(df: DataFrame, source: str, payload: str = "payload") -> DataFrame:
+    """(payload, reason) of the documents that a source cannot read: it gives no row for them.
+
+    reason: `null`, `not JSON`, or `no list at` and the path the source reads. All other documents are read; one with an
+    empty list has no rows and is no reject.
+    """
+    path = LISTS[source]
+    doc = json_document(F.col(payload))
+    listed = F.coalesce(json_type(F.try_variant_get(doc, path, "variant")).startswith("ARRAY"), F.lit(False))
+    reason = (
+        F.when(F.col(payload).isNull(), "null")
+        .when(doc.isNull(), "not JSON")
+        .when(~listed, f"no list at {path}")
+    )
+    return df.select(payload, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def otlp_logs(df: DataFrame, payload: str = "payload") -> DataFrame:
     """OTLP/JSON export requests to log rows (without id); only service.name survives from the resource."""
-    req = F.from_json(payload, schemas.OTLP, _STRICT)
+    req = F.from_json(payload, schemas.OTLP, _LENIENT)
     service_attr = F.filter("rl.resource.attributes", lambda a: a["key"] == "service.name")
     return (
         df.select(F.explode(req["resourceLogs"]).alias("rl"))
@@ -59,7 +80,7 @@ def _attribute_map(attrs: Column) -> Column:
 
 def loki_streams(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Log-store range responses to rows; value pairs with fewer than two parts are skipped."""
-    resp = F.from_json(payload, schemas.LOKI, _STRICT)
+    resp = F.from_json(payload, schemas.LOKI, _LENIENT)
     return (
         df.select(F.explode(resp["data"]["result"]).alias("r"))
         .select(F.col("r.stream").alias("labels"), F.explode("r.values").alias("v"))
@@ -93,10 +114,10 @@ def victorialogs(df: DataFrame, payload: str = "payload") -> DataFrame:
     is_array = let(json_document(doc), lambda d: json_type(d).startswith("ARRAY") & F.coalesce(
         F.forall(F.try_variant_get(d, "$", "array<variant>"), _is_entry), F.lit(True)
     ))
-    as_array = F.when(is_array, F.from_json(payload, f"array<{schemas.VICTORIA_ENTRY}>", _STRICT))
+    as_array = F.when(is_array, F.from_json(payload, f"array<{schemas.VICTORIA_ENTRY}>", _LENIENT))
     lines = F.filter(F.split(doc, "\n"), lambda s: s != "")
     good = F.filter(lines, lambda s: F.coalesce(let(json_document(s), _is_entry), F.lit(False)))
-    as_lines = F.transform(good, lambda s: F.from_json(s, schemas.VICTORIA_ENTRY, _STRICT))
+    as_lines = F.transform(good, lambda s: F.from_json(s, schemas.VICTORIA_ENTRY, _LENIENT))
     rows = df.select(as_array.isNotNull().alias("is_array"), F.explode(F.coalesce(as_array, as_lines)).alias("e"))
     stream = F.coalesce("e._stream", F.lit(""))
     return rows.select(

@@ -14,8 +14,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4, memory="6g", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    return local_session(4, memory="6g", shuffle_partitions=4, shared=f"file://{tmp_path_factory.mktemp('shared')}")
 
 
 @pytest.fixture(scope="session")
