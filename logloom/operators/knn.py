@@ -1,8 +1,9 @@
 """Nearest-neighbour search over vector tables, exact and by cells.
 
-Queries meet vectors in blocks of bounded size. Few queries travel to the scan tasks and the vectors stay
-where they are; many queries and the vectors are both cut into blocks, and every pair of blocks is one
-cogroup that returns its k best per query, never the pairs. A last window keeps the k best over all blocks.
+Queries meet vectors in blocks of bounded size: both are cut into blocks, and every pair of blocks is one cogroup
+that returns its k best per query, never the pairs. With `few`, which the caller chooses, the queries are fetched once,
+travel to the scan tasks, and the vectors stay where they are. A last window keeps the k best over all blocks. Exact search
+of many queries is quadratic by definition; `knn_cells` is the way for large numbers of both.
 
 Scores are FLOAT: squared distance for l2 (smaller first), similarity for cosine (larger first). Ties go to
 the smaller id.
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +71,7 @@ def _best(q: np.ndarray, v: np.ndarray, v_order: np.ndarray, k: int, metric: str
 
 def _order_of(ids: pa.Array) -> np.ndarray:
     """Sort rank of every id."""
-    return np.unique(np.asarray(ids.to_pylist()), return_inverse=True)[1]
+    return pc.rank(ids, tiebreaker="dense").to_numpy()
 
 
 def _hits(q_ids: pa.Array, v_ids: pa.Array, best: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -105,17 +107,21 @@ def _prepared(queries: DataFrame, vectors: DataFrame, metric: str) -> tuple[Data
     return q, v, ddl, arrow
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "l2", few: bool = False) -> DataFrame:
     """The k nearest vectors of every query: query_id, id, score, rank.
 
-    queries: query_id, query_vector; vectors: id, vector.
+    queries: query_id, query_vector; vectors: id, vector. few: there are at most FEW_QUERIES queries; this runs them at
+    once, when the plan is built, and more are an error. By default nothing runs before the result is asked for.
     """
     q, v, ddl, arrow = _prepared(queries, vectors, metric)
-    few = q.limit(FEW_QUERIES + 1).collect()
-    if len(few) <= FEW_QUERIES:
-        return _top(_scan_with(few, v, k, metric, ddl, arrow), k, metric)
-    one = F.lit(0)
-    return _top(_by_blocks(q.withColumn("cell", one), v.withColumn("cell", one), k, metric, ddl, arrow), k, metric)
+    if few:
+        rows = q.limit(FEW_QUERIES + 1).collect()
+        if len(rows) > FEW_QUERIES:
+            raise ValueError(f"more than {FEW_QUERIES} queries: leave out `few`")
+        return _top(_scan_with(rows, v, k, metric, ddl, arrow), k, metric)
+    # one cell, as an expression that is no literal: the key of the joins stays a key
+    one = [df.withColumn("cell", F.pmod(F.xxhash64(key), F.lit(1))) for df, key in ((q, "query_id"), (v, "id"))]
+    return _top(_by_blocks(*one, k, metric, ddl, arrow), k, metric)
 
 
 def _scan_with(few: list, v: DataFrame, k: int, metric: str, ddl: str, arrow: pa.Schema) -> DataFrame:
@@ -143,9 +149,9 @@ def _scan_with(few: list, v: DataFrame, k: int, metric: str, ddl: str, arrow: pa
 
 def _by_blocks(q: DataFrame, v: DataFrame, k: int, metric: str, ddl: str, arrow: pa.Schema) -> DataFrame:
     """Cogroup blocks of queries and vectors of the same cell; both block sizes are bounded."""
-    sizes = F.broadcast(  # one row per cell, and the number of cells is a parameter
-        v.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("v_parts"))
-        .join(q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_parts")), "cell")
+    # one row per cell; the planner broadcasts it if it is small
+    sizes = v.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("v_parts")).join(
+        q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_parts")), "cell"
     )
 
     def cut(df: DataFrame, key: str, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:

@@ -35,11 +35,15 @@ def search(
     service: str | None = None,
     severity: str | None = None,
     metric: str = "l2",
+    few: bool = True,
 ) -> DataFrame:
-    """Hits of every non-empty query text (query_id, query) among the records that pass the filters."""
+    """Hits of every non-empty query text (query_id, query) among the records that pass the filters.
+
+    few: as for knn; search requests come in small numbers. Set it to False for a table of queries.
+    """
     asked = embed(queries.filter("coalesce(query, '') <> ''"), "query", embedder, "query_vector")
     kept = metadata_filter(records, as_of, seconds, service, severity)
-    return with_metadata(knn(asked, kept, clamp_limit(limit), metric), kept)
+    return with_metadata(knn(asked, kept, clamp_limit(limit), metric, few), kept)
 
 
 def search_outcomes(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -81,5 +85,5 @@ def get_context(
         raise ValueError("duration mode needs as_of and an embedder")
     kept = metadata_filter(records, as_of, (end - start).total_seconds(), service)
     blank = records.sparkSession.createDataFrame([(0, "")], "query_id int, query string")
-    hits = knn(embed(blank, "query", embedder, "query_vector"), kept, n, metric)
+    hits = knn(embed(blank, "query", embedder, "query_vector"), kept, n, metric, few=True)
     return with_metadata(hits, kept)

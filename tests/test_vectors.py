@@ -38,13 +38,12 @@ def test_knn_with_copies(spark, metric, many, monkeypatch):
     vectors.append(("zero", [0.0] * 5))
     queries = [(i, [float(x) for x in base[i]]) for i in range(20)]
     if many:
-        monkeypatch.setattr(knn, "FEW_QUERIES", 3)
         monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
         monkeypatch.setattr(knn, "VECTOR_BLOCK", 40)
     q = spark.createDataFrame(queries, "query_id int, query_vector array<float>")
     v = spark.createDataFrame(vectors, "id string, vector array<float>").repartition(4)
     got = {}
-    for r in sorted(knn.knn(q, v, 7, metric).collect(), key=lambda r: r.rank):
+    for r in sorted(knn.knn(q, v, 7, metric, few=not many).collect(), key=lambda r: r.rank):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == brute(queries, vectors, 7, metric)
 
@@ -55,6 +54,17 @@ def test_knn_smaller_than_k_and_empty(spark):
     assert [(r.id, r.rank) for r in knn.knn(q, v, 5).collect()] == [(1, 1)]
     assert knn.knn(q, v.limit(0), 5).count() == 0
     assert knn.knn(q.limit(0), v, 5).count() == 0
+    assert knn.knn(q.limit(0), v, 5, few=True).count() == 0
+    with pytest.raises(ValueError, match="more than"):
+        knn.knn(spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vector")), v, 5, few=True)
+
+
+def test_exact_search_joins_by_key(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = knn.knn(vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), vectors, 3)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_cells_recall(spark, sf):
