@@ -49,6 +49,53 @@ def counter_rate(samples: DataFrame, keys: list[str], range_seconds: int, id_col
     )
 
 
+def rate_query(
+    samples: DataFrame,
+    keys: list[str],
+    start: Column,
+    end: Column,
+    step_seconds: int,
+    range_seconds: int,
+    id_col: str = "id",
+) -> DataFrame:
+    """Per-second increase of counters over the range before every step (the step included, the range's start not).
+
+    Each sample knows the one before it and emits the steps whose range holds it; its increase counts where the range
+    holds both. Sums are combined before the shuffle, so a busy series costs its samples times range / step.
+    """
+    step, width = step_seconds * 1_000_000, range_seconds * 1_000_000
+    first, last, us = F.unix_micros(start), F.unix_micros(end), F.unix_micros("ts")
+    near = samples.filter((us > first - width) & (F.col("ts") <= end))
+    before = F.struct(us.alias("us"), F.col("value").alias("value"))
+    seen = blocked_previous(near, keys, slot_of(F.col("ts"), 3_600_000_000), ["ts", id_col], before, "_before")
+
+    def floor_div(x: Column) -> Column:
+        return ((x - F.pmod(x, F.lit(step))) / step).cast("bigint")
+
+    low = F.greatest(floor_div(us - first + step - 1), F.lit(0).cast("bigint"))
+    high = floor_div(F.least(us + width - 1, last) - first)
+    gain = F.when(F.col("value") >= F.col("_before.value"), F.col("value") - F.col("_before.value")).otherwise(F.col("value"))
+    at = first + F.col("_n") * step
+    inside = F.col("_us") + width > at
+    return (
+        seen.withColumn("_low", low).withColumn("_high", high)
+        .filter("_low <= _high")
+        .select(*keys, F.col("_before.us").alias("_us"), gain.alias("_gain"), F.explode(F.sequence("_low", "_high")).alias("_n"))
+        .groupBy(*keys, "_n")
+        .agg(F.sum(F.when(F.coalesce(inside, F.lit(False)), F.col("_gain")).otherwise(0.0)).alias("_sum"), F.count("*").alias("samples"))
+        .select(*keys, F.timestamp_micros(at).alias("step_ts"), (F.col("_sum") / range_seconds).alias("rate"), "samples")
+    )
+
+
+def quantile_of_rate(
+    buckets: DataFrame, keys: list[str], q: float, start: Column, end: Column, step_seconds: int, range_seconds: int,
+    le: str = "le", id_col: str = "id",
+) -> DataFrame:
+    """Quantile of the rates of cumulative bucket counters (upper bound le, +Inf included) at every step."""
+    rates = rate_query(buckets, [*keys, le], start, end, step_seconds, range_seconds, id_col)
+    return histogram_quantile(rates, [*keys, "step_ts"], q, le, "rate")
+
+
 def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, le: str = "le", value: str = "value") -> DataFrame:
     """Quantile from cumulative buckets (upper bound le, +Inf included) by linear interpolation.
 

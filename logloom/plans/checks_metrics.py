@@ -208,6 +208,32 @@ def metric_rate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*_KEYS, F.unix_micros("start").alias("start_us"), F.round(F.col("rate") * 21_600, 2).alias("increase"), "samples")
 
 
+_COUNTERS = f"""{ov.SAMPLES}, c AS (SELECT *, epoch_us(ts) AS us,
+  sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY service, event_type, date_trunc('day', ts) ORDER BY ts, id) AS total FROM samples)"""
+_STEPS = "st AS (SELECT epoch_us(unnest(range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-28' + INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR))) AS step_us)"
+
+
+def _counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that start again every day."""
+    day = times.slot_of(F.col("ts"), 86_400_000_000)
+    return blocked_running_sum(
+        views.samples(spark, sf).withColumn("day", day), [*_KEYS, "day"], times.slot_of(F.col("ts"), 3_600_000_000),
+        [F.col("ts"), F.col("id")], F.col("value").cast("decimal(18,2)"), "total",
+    ).withColumn("value", F.col("total").cast("double"))
+
+
+@query(
+    "rate_step",
+    f"""WITH {_COUNTERS}, {_STEPS}, s AS (SELECT *, lag(us) OVER o AS b_us, lag(total) OVER o AS b FROM c WINDOW o AS (PARTITION BY service, event_type ORDER BY ts, id))
+      SELECT service, event_type, step_us, CAST(sum(CASE WHEN b IS NULL OR b_us <= step_us - 43200000000 THEN 0 WHEN total >= b THEN total - b ELSE total END) AS DOUBLE) AS increase,
+        count(*) AS samples FROM st JOIN s ON us <= step_us AND us > step_us - 43200000000 GROUP BY 1, 2, 3""",
+)
+def rate_step(spark: SparkSession, sf: str) -> DataFrame:
+    """The increase over half a day, every six hours."""
+    rows = metrics.rate_query(_counters(spark, sf), _KEYS, _ts("2024-01-03"), _ts("2024-01-28"), 21_600, 43_200)
+    return rows.select(*_KEYS, F.unix_micros("step_ts").alias("step_us"), F.round(F.col("rate") * 43_200, 2).alias("increase"), "samples")
+
+
 _BOUNDS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 _BOUND_ROWS = ", ".join(f"({b})" for b in _BOUNDS)
 _HIST = f"""{ov.SAMPLES}, b AS (SELECT * FROM (VALUES {_BOUND_ROWS}, ('Infinity'::DOUBLE)) v(le)),
@@ -231,6 +257,33 @@ def histogram_quantile(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.histogram_quantile(h, ["service"], 0.9).select("service", F.round("quantile", 6).alias("quantile"))
 
 
+_BUCKETS = f"""{ov.SAMPLES}, bounds AS (SELECT * FROM (VALUES {_BOUND_ROWS}, ('Infinity'::DOUBLE)) v(le)),
+  k AS (SELECT service, le, epoch_us(ts) AS us, id, sum((value <= le)::INT) OVER (PARTITION BY service, le ORDER BY ts, id) AS total FROM samples, bounds)"""
+
+
+@query(
+    "quantile_of_rate",
+    f"""WITH {_BUCKETS}, {_STEPS}, s AS (SELECT *, lag(us) OVER o AS b_us, lag(total) OVER o AS b FROM k WINDOW o AS (PARTITION BY service, le ORDER BY us, id)),
+      h AS (SELECT service, le, step_us, CAST(sum(CASE WHEN b IS NULL OR b_us <= step_us - 43200000000 THEN 0 ELSE total - b END) AS DOUBLE) AS cum
+        FROM st JOIN s ON us <= step_us AND us > step_us - 43200000000 GROUP BY 1, 2, 3),
+      w AS (SELECT *, CAST(le AS DOUBLE) AS hi, coalesce(CAST(lag(le) OVER o AS DOUBLE), 0) AS lo, coalesce(lag(cum) OVER o, 0) AS below,
+        max(cum) OVER (PARTITION BY service, step_us) AS n FROM h WINDOW o AS (PARTITION BY service, step_us ORDER BY le)),
+      f AS (SELECT *, row_number() OVER (PARTITION BY service, step_us ORDER BY le) AS r FROM w WHERE cum >= 0.9 * n)
+      SELECT service, step_us, round(CASE WHEN n = 0 THEN NULL WHEN isinf(hi) THEN lo ELSE lo + (hi - lo) * coalesce((0.9 * n - below) / nullif(cum - below, 0), 0) END, 6) AS quantile
+      FROM f WHERE r = 1""",
+)
+def quantile_of_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """The 0.9 quantile of the values of half a day, every six hours, from bucket counters."""
+    le = F.explode(F.array(*(F.lit(float(b)) for b in (*_BOUNDS, float("inf")))))
+    ones = views.samples(spark, sf).select("service", "ts", "id", "value", le.alias("le"))
+    counters = blocked_running_sum(
+        ones, ["service", "le"], times.slot_of(F.col("ts"), 3_600_000_000), [F.col("ts"), F.col("id")],
+        F.when(F.col("value") <= F.col("le"), 1).otherwise(0).cast("decimal(18,0)"), "total",
+    ).withColumn("value", F.col("total").cast("double"))
+    rows = metrics.quantile_of_rate(counters, ["service"], 0.9, _ts("2024-01-03"), _ts("2024-01-28"), 21_600, 43_200)
+    return rows.select("service", F.unix_micros("step_ts").alias("step_us"), F.round("quantile", 6).alias("quantile"))
+
+
 @query(
     "log_rate",
     f"WITH {ov.LOGS} SELECT service, epoch_us(ts) // 300000000 * 300000000 AS start_us, count(*) AS lines, round(count(*) / 300.0::DOUBLE, 6) AS rate FROM logs GROUP BY 1, 2",
