@@ -15,14 +15,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.session import materialize
+from logloom.session import materialize, new_table_path
 
-__all__ = ["bucket_of_id", "id_and_bytes", "labelled", "map_rows", "materialize", "table", "to_arrow"]
+__all__ = ["bucket_of_id", "drop", "id_and_bytes", "labelled", "map_rows", "materialize", "stored", "table", "to_arrow"]
 
 #: The only characters that separate words, as a pattern of the regular-expression engines.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As materialize, compressed harder and with the path, for large tables that `drop` deletes when they have served."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import bucket_of_id, id_and_bytes, map_rows, materialize, table
+from logloom.llm.common import bucket_of_id, drop, id_and_bytes, map_rows, materialize, stored, table
 
 STATES, HEAD_WORDS, TAIL_CLASSES, ROUNDS, SEGMENT = 8, 3000, 1024, 4, 256
 #: Texts that the first emissions are taken from.
@@ -194,7 +194,7 @@ def train_chain(train: DataFrame, classes: Classes, per_class: np.ndarray, state
         for first, ids in _segments(texts, sent.value):
             yield first, ids.astype("<u2").tobytes()
 
-    runs = materialize(map_rows(train.select("text"), coded, encode), "classes")  # read again in every round
+    runs, path = stored(map_rows(train.select("text"), coded, encode), "classes")  # read again in every round
     sample = runs.where("first = 1").orderBy(F.xxhash64("ids"), "ids").limit(SEEDS).collect()
     chain = first_chain([np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in sample], classes.n, states, per_class)
     part = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
@@ -231,9 +231,10 @@ def train_chain(train: DataFrame, classes: Classes, per_class: np.ndarray, state
             .collect()
         )
         if not summed:
-            return chain
+            break
         counts = np.concatenate([[x["v"] for x in r["all"]] for r in sorted(summed, key=lambda r: r["block"])])
         chain = Chain.of_counts(counts, states, classes.n)
+    drop(spark, path)
     return chain
 
 
@@ -285,7 +286,7 @@ def score_texts(
             if held >= batch_bytes:
                 batch, held = batch + 1, 0
 
-    gathered = materialize(map_rows(texts, batched, number, size=256), "batches")
+    gathered, _ = stored(map_rows(texts, batched, number, size=256), "batches")
     asked = T.StructType([T.StructField("batch", T.LongType()), T.StructField("word", T.BinaryType())])
 
     def ask(rows: Iterator[tuple]) -> Iterator[tuple]:
