@@ -62,7 +62,8 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tuples() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for at in range(0, batch.num_rows, 256):  # Python objects of a few rows at a time
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
 
         out: list[tuple] = []
         for row in rows(tuples()):
