@@ -141,8 +141,13 @@ def near_duplicates(
     their number; null ids take part but name a component only if it has no other id.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
+    return classes_of(fps, links(fps.select("fp").distinct(), max_bits, longest_list))
+
+
+def classes_of(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of (doc_id, fp), which is stored: the smallest id of the component over the edges."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), max_bits, longest_list)).withColumnsRenamed({"node": "fp"})
+    roots = components(edges).withColumnsRenamed({"node": "fp"})
     # one row per component that has a link, then one row per linked fingerprint
     named = nodes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(named, "root").select("fp", "component_id")
@@ -156,7 +161,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
 
     A document of which several rows exist under one id stays once.
     """
-    marks = near_duplicates(docs, id_col, **options)
+    return stay_of_each(docs, near_duplicates(docs, id_col, **options), id_col)
+
+
+def stay_of_each(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id names the class of one of its rows in `marks`, one row per id."""
     stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     rest = docs.join(stay.withColumnRenamed("doc_id", "__stay"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
     return rest.dropDuplicates([id_col])

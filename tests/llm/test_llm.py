@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from logloom.llm import decontamination, hmm, language, line_dedup, mixing, neighbours, quality, queries, simhash, toxicity, warc
+from logloom.llm import decontamination, hmm, language, line_dedup, mixing, near_copies, neighbours, quality, queries, simhash, toxicity, warc
 from logloom.llm.common import bucket_of_id, table
 from logloom.llm.components import components
 
@@ -167,6 +167,41 @@ def test_components_of_a_chain(spark):
     assert {got[k] for k in range(41)} == {0} and got[101] == 100
 
 
+def test_near_copies_are_all_pairs_of_jaccard(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(60):  # copies with one to seven words changed, strangers, and strangers that hold one common passage
+        words = list(base)
+        for _ in range(rng.randint(1, 7)):
+            words[rng.randrange(200)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    passage = [f"p{k}" for k in range(40)]
+    rows += [(100 + i, " ".join([f"v{rng.randrange(5000)}" for _ in range(30)] + passage)) for i in range(40)]
+    rows += [(200, ""), (201, " \t"), (202, "a b"), (203, "A  b"), (204, None), (None, rows[0][1])]
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows])
+
+    def sets(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    found = [sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(found[a] & found[b]) * 5 >= len(found[a] | found[b]) * 4 and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    want = [min(i for (i, _), r in zip(rows, root, strict=True) if i is not None and r == mine) for mine in root]
+    for longest in (4, 1000):
+        got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, long_list=longest).collect()}
+        assert [got[i] for i, _ in rows] == want
+    # one changed word of 200 is a near copy, though more than two bits of the fingerprint differ
+    two = docs_of(spark, [(1, " ".join(base), "s"), (2, " ".join(["x", *base[:99], "y", *base[100:]]), "s")])
+    assert simhash.first_of_each(two).count() == 2
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, two, "").collect()] == [1]
+    assert near_copies.near_copies(empty(spark)).count() == 0
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------------
 
 
