@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import let
 from logloom.llm.common import materialize, table
+from logloom.llm.near_copies import verified
 
 
 def tokens_of(line: Column) -> Column:
@@ -55,6 +56,7 @@ def drop_recurring_lines(
     fields: int = 4,
     min_tokens: int = 5,
     keep_whole_above: float = 1.0,
+    only_copies: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -63,7 +65,9 @@ def drop_recurring_lines(
     A line is dropped if one of its templates occurs in a document with a smaller id: the document with the smallest id keeps
     its lines, and lines that recur inside one document only stay. Lines of fewer than `min_tokens` tokens are always
     kept. A document that would lose more than the share `keep_whole_above` of its words is left whole; at 1 there is no
-    such document. With less it leaves copies of whole documents, which are no boilerplate, to the near-duplicate stage.
+    such document. With less it leaves copies of whole documents, which are no boilerplate, to the near-duplicate stage. With
+    `only_copies` such a document is left whole only if it is a copy: its text and that of the document in which most words of
+    its recurring lines were first seen are equal, or near copies of each other.
 
     __n_lines: lines of the text; __n_dropped: lines dropped; __n_recurring: lines that recur in an earlier document.
     A null text stays null and has no lines, an empty text has one empty line. Null ids count as one document before all
@@ -80,17 +84,27 @@ def drop_recurring_lines(
     held = materialize(lines.select("doc", "of", "line", found_in.alias("templates")).where(F.col("templates").isNotNull()), "templates")
     index = held.select("doc", "of", "line", F.explode("templates").alias("t")).select("doc", "of", "line", "t.n", "t.t1", "t.t2")
     recurring = index.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    found = index.join(recurring, ["t1", "t2"]).where("doc > first").groupBy("doc", "of", "line").agg(F.first("n").alias("n"))
-    lost = found.groupBy(F.col("doc").alias("__doc"), F.col("of").alias("__of")).agg(
-        F.collect_list("line").alias("__lost"), F.sum("n").alias("__lost_words")
-    )
-
+    found = index.join(recurring, ["t1", "t2"]).where("doc > first").groupBy("doc", "of", "line")
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_col)]
+    by_row = [F.col("doc").alias("__doc"), F.col("of").alias("__of")]
+    if only_copies:
+        # per document in which the lines were first seen, then of all of them the one with most words
+        per = found.agg(F.first("n").alias("n"), F.min("first").alias("first")).groupBy("doc", "of", "first")
+        per = per.agg(F.collect_list("line").alias("lines"), F.sum("n").alias("n"))
+        lost = per.groupBy(*by_row).agg(
+            F.flatten(F.collect_list("lines")).alias("__lost"), F.sum("n").alias("__lost_words"),
+            F.max_by("first", F.struct("n", -F.col("first"))).alias("__first"),
+        )
+        lost = _with_copies(docs.select(keys[0].alias("doc"), keys[1].alias("of"), F.col(text_col).alias("text")), materialize(lost, "lost"), keep_whole_above)
+    else:
+        lost = found.agg(F.first("n").alias("n")).groupBy(*by_row).agg(F.collect_list("line").alias("__lost"), F.sum("n").alias("__lost_words"))
+
     joined = docs.join(lost, (keys[0] == F.col("__doc")) & (keys[1] == F.col("__of")), "left")
-    words = F.size(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda t: t != ""))
     dropping = F.col("__lost").isNotNull()
-    if keep_whole_above < 1:
-        dropping = dropping & (F.col("__lost_words") <= F.lit(keep_whole_above) * words)
+    if only_copies:
+        dropping = dropping & ~F.col("__copy")
+    elif keep_whole_above < 1:
+        dropping = dropping & (F.col("__lost_words") <= F.lit(keep_whole_above) * _words(F.col(text_col)))
     kept = _without(F.col(text_col), F.col("__lost"))
     return joined.withColumn("__drop", dropping).select(
         *[F.when(F.col("__drop"), kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
@@ -100,6 +114,24 @@ def drop_recurring_lines(
     )
 
 
+def _words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda t: t != ""))
+
+
+def _with_copies(texts: DataFrame, lost: DataFrame, share: float) -> DataFrame:
+    """`lost` with __copy: whether the text loses over `share` of its words and is a near copy of one of the document __first."""
+    own = (F.col("doc") == F.col("__doc")) & (F.col("of") == F.col("__of"))
+    heavy = texts.join(lost.drop("__lost"), own).where(F.col("__lost_words") > F.lit(share) * _words(F.col("text")))
+    heavy = heavy.select("__doc", "__of", "__first").distinct()
+    firsts = texts.select(F.col("doc").alias("__first"), F.col("of").alias("origin")).distinct()
+    pairs = materialize(heavy.join(firsts, "__first").select("__doc", "__of", "origin"), "pairs")
+    unequal = pairs.where("__of <> origin").select(F.least("__of", "origin").alias("a"), F.greatest("__of", "origin").alias("b")).distinct()
+    near = verified(unequal, texts.select(F.col("of").alias("node"), "text")).withColumn("near", F.lit(True))
+    ends = (F.least("__of", "origin") == F.col("a")) & (F.greatest("__of", "origin") == F.col("b"))
+    copies = pairs.join(near, ends, "left").where("__of = origin or near").select("__doc", "__of", F.lit(True).alias("__copy")).distinct()
+    return lost.join(copies, ["__doc", "__of"], "left").withColumn("__copy", F.coalesce("__copy", F.lit(False)))
+
+
 def _without(text: Column, lost: Column) -> Column:
     """The text without the lines numbered in `lost`."""
 

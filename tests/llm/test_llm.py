@@ -472,6 +472,21 @@ def test_lines_that_recur_are_dropped(spark):
     assert line_dedup.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_only_copies_are_left_whole(spark):
+    passage = " ".join(f"p{'abcdefgh'[k % 8]}{'xyz' [k % 3]}{'klmnopq'[k % 7]}" for k in range(80))
+    other = "\n".join(" ".join(f"{a}{b}{'uvw'[k % 3]}" for k, b in enumerate("qwertyuiopas")) for a in "abcdefghij")
+    near = other.replace("aqu", "changed", 1)
+    own = ["\n".join(f"{x}{a} is here" for a in "abcdefghijk") for x in ("one", "two")]  # lines of three words
+    rows = [
+        (1, passage + "\n" + own[0], "s"), (2, own[1] + "\n" + passage, "s"),  # no copies, mostly the passage
+        (3, other, "s"), (4, other, "s"), (5, near, "s"), (6, None, "s"), (7, "", "s"),
+    ]
+    got = corpus_pipeline.line_dedup_stage(spark, docs_of(spark, rows), "")
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    want = {i: t for i, t, _ in rows} | {2: own[1]}
+    assert texts == want
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     got = line_dedup.drop_recurring_lines(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
