@@ -50,6 +50,12 @@ def templates_of(tokens: Column, depth: int, fields: int) -> Column:
     return let(F.array(*pieces), lambda hashes: combined(n, hashes))
 
 
+def closed_template_of(tokens: Column) -> Column:
+    """The template of a token array without an open field."""
+    parts = [F.size(tokens), F.lit(-1), tokens]
+    return F.struct(F.size(tokens).alias("n"), F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit("second"), *parts).alias("t2"))
+
+
 def drop_recurring_lines(
     docs: DataFrame,
     depth: int = 2,
@@ -57,6 +63,7 @@ def drop_recurring_lines(
     min_tokens: int = 5,
     keep_whole_above: float = 1.0,
     only_copies: bool = False,
+    short_lines: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -64,7 +71,8 @@ def drop_recurring_lines(
 
     A line is dropped if one of its templates occurs in a document with a smaller id: the document with the smallest id keeps
     its lines, and lines that recur inside one document only stay. Lines of fewer than `min_tokens` tokens are always
-    kept. A document that would lose more than the share `keep_whole_above` of its words is left whole; at 1 there is no
+    kept; with `short_lines` they are dropped like others, but have one template only, without an open field, and lines without
+    tokens are kept. A document that would lose more than the share `keep_whole_above` of its words is left whole; at 1 there is no
     such document. With less it leaves copies of whole documents, which are no boilerplate, to the near-duplicate stage. With
     `only_copies` such a document is left whole only if it is a copy: its text and that of the document in which most words of
     its recurring lines were first seen are equal, or near copies of each other.
@@ -78,8 +86,13 @@ def drop_recurring_lines(
         F.xxhash64(text_col).alias("of"),
         F.posexplode(F.split(text_col, "\n")).alias("line", "body"),
     )
+
+    def found_by(tokens: Column) -> Column:
+        long = F.when(F.size(tokens) >= min_tokens, templates_of(tokens, depth, fields))
+        return long.when(F.size(tokens) > 0, F.array(closed_template_of(tokens))) if short_lines else long
+
     # let: the tokens are computed once, not once for each of their uses
-    found_in = let(tokens_of(F.col("body")), lambda t: F.when(F.size(t) >= min_tokens, templates_of(t, depth, fields)))
+    found_in = let(tokens_of(F.col("body")), found_by)
     # written: the templates are read twice and cost more to find than to read
     held = materialize(lines.select("doc", "of", "line", found_in.alias("templates")).where(F.col("templates").isNotNull()), "templates")
     index = held.select("doc", "of", "line", F.explode("templates").alias("t")).select("doc", "of", "line", "t.n", "t.t1", "t.t2")

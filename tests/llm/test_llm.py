@@ -487,6 +487,12 @@ def test_only_copies_are_left_whole(spark):
     assert texts == want
 
 
+def test_short_lines_recur_in_the_pipeline(spark):
+    texts = ["one page with its own words\nAll rights reserved.\n\nx", "another text with other words here\nAll rights reserved.\n\nx y", "All rights reserved!\n\nvery different from the others it is"]
+    got = corpus_pipeline.line_dedup_stage(spark, docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), "")
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == [texts[0], "another text with other words here\n\nx y", texts[2]]
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     got = line_dedup.drop_recurring_lines(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
