@@ -94,10 +94,11 @@ def mix(
     id_col: str = "doc_id",
     rows_per_slice: int = 2000,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken, position) of every row, sorted by position.
+    """(doc_id, source, size, source_size, target, copies, taken, position, positions) of every row, sorted by position.
 
     size: words of the text (null: 0); taken: copies times size, at most most_times * size; position: training time 0..1 of
-    the first copy, the time at the end of its source's schedule if no copy is taken. Words taken from a source differ from
+    the first copy, the time at the end of its source's schedule if no copy is taken; positions: those of all copies, one in each
+    pass over the source. Words taken from a source differ from
     its target by half a document at most. Rows of one id are ordered by size; equal rows are interchangeable. The order
     inside a source is that of md5(id), so reruns agree and the table's order does not matter.
     """
@@ -136,15 +137,22 @@ def mix(
     )
     copies = F.col("passes") + F.when((F.col("passes") < most_times) & (F.col("begun") * 2 + F.col("size") <= F.col("rest") * 2), 1).otherwise(0)
     due = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("begun") / F.col("target"))).otherwise(F.lit(1.0))
-    at = F.lit(None).cast("double")
-    for k in range(len(weights)):
-        at = F.when(F.col("kind") == k, inverse_integral(curriculum[k % len(curriculum)], F.col("due"))).otherwise(at)
+
+    def time_of(due: Column) -> Column:
+        at = F.lit(None).cast("double")
+        for k in range(len(weights)):
+            at = F.when(F.col("kind") == k, inverse_integral(curriculum[k % len(curriculum)], due)).otherwise(at)
+        return at
+
+    numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    dues = F.transform(numbers, lambda p: F.least(F.lit(1.0), (p * F.col("source_size") + F.col("begun")) / F.col("target")))
     out = (
         placed.withColumn("copies", copies)
         .withColumn("due", due)
         .select(
             "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"),
-            (F.col("copies") * F.col("size")).cast("long").alias("taken"), at.alias("position"),
+            (F.col("copies") * F.col("size")).cast("long").alias("taken"), time_of(F.col("due")).alias("position"),
+            F.transform(dues, time_of).alias("positions"),
         )
     )
     # documents that are not taken share one position; the id divides them
@@ -152,20 +160,21 @@ def mix(
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` that the mix takes at least once, with copies, taken and position, sorted by position.
+    """The rows of `docs`, as often as the mix takes them, with copies, taken (of all copies) and position of each, sorted by position.
 
     Columns of `docs` of these three names give way. Rows without words are never taken. Rows of one id are one document.
     """
     new = ("copies", "taken", "position")
     marks = mix(docs, id_col=id_col, **options).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
-    marks = marks.agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"), F.min("position").alias("position"))
+    marks = marks.agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"), F.max_by("positions", F.struct("copies", "taken", -F.col("position"))).alias("positions"))
+    marks = marks.select("__id", "copies", "taken", F.explode("positions").alias("position"))
     out = docs.drop(*new).join(marks, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
     return out.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Words taken of every document, and its place in the curriculum."""
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "positions")
 
 
 SQL = r"""

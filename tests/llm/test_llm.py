@@ -584,6 +584,20 @@ def test_mix_of_odd_rows(spark, odd):
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
 
 
+def test_every_copy_has_its_position(spark):
+    # weights 1, 2, 3: the small source c is taken three times
+    docs = docs_of(spark, [(i, "w " * 50, "a") for i in range(40)] + [(100 + i, "w " * 50, "c") for i in range(8)] + [(200 + i, "w " * 50, "b") for i in range(40)])
+    rows = mixing.take(docs).collect()
+    marks = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    count = Counter(r["doc_id"] for r in rows)
+    assert count == {i: r["copies"] for i, r in marks.items() if r["copies"]} and all(count[100 + i] == 3 for i in range(8))
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+    at = sorted(r["position"] for r in rows if r["source"] == "c")
+    # schedule of the third source: 1.5 to 0.5 over time 0..1, whose integral is 1.5 t - t * t / 2
+    assert [1.5 * t - t * t / 2 for t in at] == pytest.approx([k / 24 for k in range(24)])
+    assert all(min(m["positions"]) == m["position"] for m in marks.values() if m["copies"])
+
+
 def test_inverse_of_the_integral(spark):
     schedule = ((0.0, 1.0), (0.25, 3.0), (1.0, 0.0))
     df = spark.range(101).select((F.col("id") / 100).alias("u"))
