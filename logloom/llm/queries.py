@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, fill_in_middle, hmm, language, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
+from logloom.llm import decontamination, fill_in_middle, hmm, language, lexical, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_templates": line_dedup.op8_line_templates,
     "op9_hmm_scoring": hmm.op9_hmm_scoring,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_warc_in_zip": warc.SQL,
     "op8_line_templates": line_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_lexical_search": lexical.SQL,
     "op13_fill_in_middle": fill_in_middle.SQL,
 }
