@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.llm import decontamination, fill_in_middle, hmm, language, lexical, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
+from logloom.llm import decontamination, fill_in_middle, hmm, language, lexical, line_dedup, mixing, neighbours, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_hmm_scoring": hmm.op9_hmm_scoring,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_pii": pii.op12_pii,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
