@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,26 +299,6 @@ def search_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(knn.knn(_all_queries(spark, sf)[0], kept, 5, "cosine"))
 
 
-def _pivots(vectors: DataFrame) -> np.ndarray:
-    """Sixteen fixed vectors as the centres of the cells."""
-    rows = vectors.filter("id < 16").orderBy("id").collect()
-    return np.array([r["vector"] for r in rows], np.float64)
-
-
-@query(
-    "knn_ann",
-    f"""WITH {_E}, near AS (SELECT e.id, e.vector, c.id AS cell, row_number() OVER (PARTITION BY e.id ORDER BY pow(list_distance(e.vector, c.vector), 2), c.id) AS n
-      FROM e, (SELECT * FROM e WHERE id < 16) c),
-      s AS (SELECT a.id AS query_id, b.id, {_SCORE['l2'][0]} AS score FROM near a JOIN near b ON a.cell = b.cell WHERE a.n <= 6 AND b.n = 1),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s)
-      SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE rank <= 10""",
-)
-def knn_ann(spark: SparkSession, sf: str) -> DataFrame:
-    """Six of sixteen cells around fixed pivots."""
-    queries, vectors = _all_queries(spark, sf)
-    return _hits(knn.knn_cells(queries, vectors, _pivots(vectors), 10, "l2", 6))
-
-
 @query("knn_cells_all", f"WITH {_E}, {_knn_sql('l2', 10)}")
 def knn_cells_all(spark: SparkSession, sf: str) -> DataFrame:
     """The cell search with every cell probed is exact."""
@@ -327,14 +306,6 @@ def knn_cells_all(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(knn.knn_cells(queries, vectors, knn.train_cells(vectors, 8), 10, "l2", 8))
 
 
-@query("ann_recall", "SELECT TRUE AS reached, count(*) * 10 AS expected FROM embeddings")
-def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether thirteen of sixteen cells find nine tenths of the exact neighbours."""
-    queries, vectors = _all_queries(spark, sf)
-    found = knn.knn_cells(queries, vectors, _pivots(vectors), 10, "l2", 13)
-    return knn.recall(found, knn.knn(queries, vectors, 10)).select((F.col("recall") >= 0.9).alias("reached"), "expected")
-
-
 _SLOTS = (
     "list_transform(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: "
     f"{{'i': CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {EMBED_DIM}, "
