@@ -19,15 +19,16 @@ def duck(sf):
     return con
 
 
-def rows(frame):
-    cols = sorted(frame.columns)
-    return cols, sorted(tuple(repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame[cols].itertuples(index=False))
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    text = lambda v: "null" if v is None else repr(float(v)) if isinstance(v, float) else str(v)
+    return sorted(columns), sorted(tuple(text(r[k]) for k in order) for r in found)
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_same_rows_as_sql(spark, duck, sf, name):
-    got = rows(entry.queries()[name](spark, sf).toPandas())
-    assert got == rows(duck.sql(entry.oracle_sql()[name]).df())
+    got, want = entry.queries()[name](spark, sf), duck.sql(entry.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
