@@ -65,25 +65,22 @@ def duck(sf):
     return con
 
 
-def rows_of(frame):
-    def text(v):
-        return "null" if pd.isna(v) else repr(float(v)) if isinstance(v, float | np.floating) else str(v)
-
-    cols = sorted(frame.columns)
-    out = []
-    for r in frame[cols].itertuples(index=False):
-        out.append(tuple("null" if v is None else text(v) for v in r))
-    return cols, sorted(out)
+def rows_of(columns, rows):
+    """Rows as texts, in order, with the columns in the order of their names."""
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    text = lambda v: "null" if v is None else repr(float(v)) if isinstance(v, float) else str(v)
+    return sorted(columns), sorted(tuple(text(r[k]) for k in order) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, duck, sf, name):
-    assert rows_of(queries.QUERIES[name](spark, sf).toPandas()) == rows_of(duck.sql(queries.ORACLES[name]).df())
+    got, want = queries.QUERIES[name](spark, sf), duck.sql(queries.ORACLES[name])
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
 
 
 def test_registered():
     known = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(known)
 
 
@@ -612,8 +609,18 @@ def test_inverse_of_the_integral(spark):
 # ---- the pipeline ----------------------------------------------------------------------------------------------------
 
 
+def brute_shingles(text):
+    """Distinct five-word shingles; a shorter text is one."""
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def brute_line_stage(rows, share=0.5):
-    """Line de-duplication of (doc_id, text), by plain Python."""
+    """Line de-duplication of (doc_id, text), by plain Python: short lines recur whole, only shown copies stay whole."""
     import re
 
     def tokens(line):
@@ -621,25 +628,53 @@ def brute_line_stage(rows, share=0.5):
 
     def templates(t):
         n = len(t)
+        if n < 5:
+            return [(n, -1, tuple(t))] if n else []
         width = -(-max(n - 2, 0) // 4)
         return [(n, k, tuple(t[: 2 + width * k]), tuple(t[2 + width * (k + 1) :])) for k in range(4)]
 
-    seen = {}
+    seen, text_of = {}, dict(rows)
     for i, text in rows:
         for line in (text or "").split("\n"):
-            if len(t := tokens(line)) >= 5:
-                for x in templates(t):
-                    seen[x] = min(seen.get(x, i), i)
+            for x in templates(tokens(line)):
+                seen[x] = min(seen.get(x, i), i)
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
-        lost = [k for k, line in enumerate(lines) if len(t := tokens(line)) >= 5 and any(seen[x] < i for x in templates(t))]
+        lost, by_first = [], Counter()
+        for k, line in enumerate(lines):
+            t = tokens(line)
+            first = min((seen[x] for x in templates(t)), default=i)
+            if first < i:
+                lost.append(k)
+                by_first[first] += len(t)
         words = len([w for w in re.split(r"[\x20\x09-\x0d]+", text or "") if w])
-        drop = sum(len(tokens(lines[k])) for k in lost) <= share * words
-        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in lost) if lost and drop else text))
+        copy = False
+        if sum(by_first.values()) > share * words:
+            origin = text_of[max(by_first, key=lambda d: (by_first[d], -d))]
+            copy = origin == text or alike(brute_shingles(origin), brute_shingles(text))
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in lost) if lost and not copy else text))
     return out
 
 
+def brute_near_stage(rows):
+    """The texts with the smallest id of their class over all pairs of similarity 0.8 or more."""
+    sets = [brute_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if alike(sets[a], sets[b]):
+                x, y = sorted((find(a), find(b)), key=lambda k: rows[k][0])
+                root[y] = x
+    return [r for k, r in enumerate(rows) if find(k) == k]
+
+
 def test_pipeline_stages_by_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -655,9 +690,9 @@ def test_pipeline_stages_by_brute_force(spark, sf):
     assert two.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in two.collect()) == want
     assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
 
-    classes = brute_components([(i, brute_fingerprint(t)) for i, t in want])
     three = stage[names[2]](spark, two, sf).cache()
-    kept = [(i, t) for (i, t), c in zip(want, classes, strict=True) if i == c]
+    kept = brute_near_stage(want)
+    assert len(kept) < len(want)
     assert three.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in three.collect()) == kept
 
     items = [(r["item_id"], decontamination.words_of(r["text"].encode())) for r in table(spark, sf, "benchmark").collect()]
