@@ -13,6 +13,7 @@ templates, not its patterns; candidates come from an index by position and token
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,45 @@ from logloom.session import materialize
 THRESHOLD = 0.7
 CAPACITY = 10_000
 DEPTH = 0
+#: Numbers up to which a list of templates is a plain one.
+SHORT = 16
 _WILD, _MASKED = -1, -2
 
 
+class Posting:
+    """Template numbers as a growing array; one is added or removed in constant time."""
+
+    __slots__ = ("numbers", "n", "place")
+
+    def __init__(self, numbers: list[int]):
+        self.n, self.place = len(numbers), {i: k for k, i in enumerate(numbers)}
+        self.numbers = np.zeros(2 * self.n, np.int64)
+        self.numbers[: self.n] = numbers
+
+    def add(self, i: int) -> None:
+        if i in self.place:
+            return
+        if self.n == len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        self.numbers[self.n], self.place[i] = i, self.n
+        self.n += 1
+
+    def remove(self, i: int) -> None:
+        k = self.place.pop(i, None)
+        if k is None:
+            return
+        self.n -= 1
+        if k < self.n:
+            last = int(self.numbers[self.n])
+            self.numbers[k], self.place[last] = last, k
+
+
 class TemplateSet:
     """Templates of one bucket, all of the same token count, as a growing integer matrix.
 
-    `at` lists the templates that have a token at a position. A position that turned into a wildcard stays listed; the
-    matrix decides.
+    `at` lists the templates that have a token at a position, a short list as it is and a long one as a Posting. A position that
+    turned into a wildcard stays listed; the matrix decides. With a capacity, `uses` is a heap of (count, number): entries
+    that no longer hold are passed over, so the least used template is found without a scan.
     """
 
     def __init__(self, width: int, threshold: float = THRESHOLD, capacity: int | None = None):
@@ -46,7 +78,8 @@ class TemplateSet:
         self.rows = np.zeros((64, width), dtype=np.int64)
         self.counts = np.zeros(64, dtype=np.int64)
         self.wild = np.zeros(64, dtype=np.int64)
-        self.at: dict[tuple[int, int], list[int]] = {}
+        self.at: dict[tuple[int, int], list[int] | Posting] = {}
+        self.uses: list[tuple[int, int]] = []
         self.size = 0
 
     def encode(self, tokens: list[str], masked: int) -> np.ndarray:
@@ -70,11 +103,12 @@ class TemplateSet:
         for p, code in enumerate(x.tolist()):
             listed = self.at.get((p, code))
             if listed is not None:
-                at = np.array(listed)
-                at = at[self.rows[at, p] == code]
-                if len(at) < len(listed) // 2:
-                    self.at[p, code] = at.tolist()
-                hits[at] += 1
+                long = isinstance(listed, Posting)
+                at = listed.numbers[: listed.n] if long else np.array(listed, np.int64)
+                kept = at[self.rows[at, p] == code]
+                if long and len(kept) < len(at) // 2:
+                    self.at[p, code] = Posting(kept.tolist())
+                hits[kept] += 1
         best = int(hits.argmax())
         return best, float(hits[best]) / self.width
 
@@ -87,6 +121,7 @@ class TemplateSet:
             row[row != x] = _WILD
             self.wild[best] = int((row == _WILD).sum())
             self.counts[best] += rows
+            self._used(best)
             return best, False
         if self.capacity is not None and self.size >= self.capacity:
             self.evict()
@@ -105,18 +140,35 @@ class TemplateSet:
         self.rows[i], self.counts[i], self.wild[i] = row, count, int((row == _WILD).sum())
         for p, code in enumerate(row.tolist()):
             if code != _WILD:
-                self.at.setdefault((p, code), []).append(i)
+                listed = self.at.setdefault((p, code), [])
+                if isinstance(listed, Posting):
+                    listed.add(i)
+                elif i not in listed:
+                    listed.append(i)
+                    if len(listed) > SHORT:
+                        self.at[p, code] = Posting(listed)
+        self._used(i)
+
+    def _used(self, i: int) -> None:
+        if self.capacity is None:
+            return
+        heapq.heappush(self.uses, (int(self.counts[i]), i))
+        if len(self.uses) > 4 * self.size + 64:
+            self.uses = [(int(n), k) for k, n in enumerate(self.counts[: max(self.size, i + 1)])]
+            heapq.heapify(self.uses)
 
     def evict(self) -> None:
-        """Drop the least used template; the last one takes its place."""
+        """Drop the least used template, of equals that with the lowest number; the last one takes its place."""
         if not self.size:
             return
-        worst = int(self.counts[: self.size].argmin())
+        while self.uses[0][1] >= self.size or self.uses[0][0] != self.counts[self.uses[0][1]]:
+            heapq.heappop(self.uses)
+        worst = heapq.heappop(self.uses)[1]
         self.size -= 1
         for i in {worst, self.size}:
             for p, code in enumerate(self.rows[i].tolist()):
                 if code != _WILD:
-                    self.at[p, code] = [k for k in self.at[p, code] if k != i]
+                    self.at[p, code].remove(i)
         if worst != self.size:
             self._put(worst, self.rows[self.size].copy(), int(self.counts[self.size]))
 
@@ -270,6 +322,67 @@ def mine_templates(
     )
 
 
+def mine_with_capacity(
+    logs: DataFrame,
+    capacity: int = CAPACITY,
+    partition_by: tuple[str, ...] = ("service",),
+    ts: str = "ts",
+    id_col: str = "id",
+    body: str = "body",
+    threshold: float = THRESHOLD,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """The fold over all rows, in the order of their times, with at most `capacity` templates in a bucket.
+
+    (id, the partition columns, n_tokens, prefix, is_new, created_template, template_no, template, members): a row for every log
+    row with tokens, its template's number when it came and, if it founded one, the text of then; and a row for every template that
+    is left in the end, with id null, its text and how many rows it stands for. A template that was evicted is founded
+    again by the next row like it, so rows do not collapse before the fold; it reads the ids and masked texts only.
+    """
+    t = with_tokens(logs, body).filter("n_tokens > 0")
+    prefix = F.concat_ws(" ", F.slice(F.split("masked", " "), 1, depth)) if depth else F.lit(None).cast("string")
+    group = [*partition_by, "n_tokens", "prefix"]
+    keyed = t.select(F.col(id_col).alias("id"), F.col(ts).alias("_ts"), *partition_by, "n_tokens", prefix.alias("prefix"), "masked")
+    added = T.StructType.fromDDL("is_new boolean, created_template string, template_no int, template string, members bigint")
+    schema = T.StructType([keyed.schema["id"], *(keyed.schema[c] for c in group), *added.fields])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, known, last = to_arrow_schema(schema), None, None
+
+        def left() -> pa.RecordBatch:
+            take = pa.array([0] * known.size, pa.int32())
+            own = {
+                "template_no": range(known.size), "template": [known.text(i) for i in range(known.size)],
+                "members": known.counts[: known.size].tolist(),
+            }
+            columns = [last.column(f.name).take(take) if f.name in group else pa.array(own[f.name], f.type) if f.name in own else pa.nulls(known.size, f.type) for f in layout]
+            return pa.RecordBatch.from_arrays(columns, schema=layout)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts, finished = set(group_changes(batch, group, last).tolist()), []
+            number, new, created = [], [], []
+            widths = batch.column("n_tokens")
+            for k, text in enumerate(batch.column("masked").to_pylist()):
+                if k in cuts or known is None:
+                    if known is not None:
+                        finished.append(left())
+                    known, last = TemplateSet(widths[k].as_py(), threshold, capacity), batch.slice(k, 1)
+                i, is_new = known.add(text.split(" "))
+                number.append(i)
+                new.append(is_new)
+                created.append(known.text(i) if is_new else None)
+            n, own = batch.num_rows, {"is_new": new, "created_template": created, "template_no": number}
+            columns = [batch.column(f.name) if f.name in ("id", *group) else pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in layout]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, layout)], schema=layout)
+            yield from finished
+        if known is not None:
+            yield left()
+
+    return keyed.repartition(*group).sortWithinPartitions(*group, "_ts", "id").mapInArrow(fold, schema)
+
+
 def first_of_each_template(
     patterns_mined: DataFrame, body: str = "body"
 ) -> DataFrame:

@@ -184,6 +184,32 @@ def mine_global_templates(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(templates.mine_templates(views.family_logs(spark, sf), ())).drop("service")
 
 
+CAPACITY = 3
+
+
+@query(
+    "mine_capacity",
+    f"""WITH RECURSIVE {ov.FAMILIES}, {ov.mined_with_capacity('families', 'ts', CAPACITY)}
+      SELECT p.id, p.b AS service, c.no::INTEGER AS template_no, c.is_new, CASE WHEN c.is_new THEN array_to_string(p.x, ' ') END AS created_template
+      FROM crows p JOIN caps c USING (b, n, k)""",
+)
+def mine_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every row with at most three templates in a bucket, the least used leaving."""
+    out = templates.mine_with_capacity(views.family_logs(spark, sf), CAPACITY)
+    return out.where("id is not null").select("id", "service", "template_no", "is_new", "created_template")
+
+
+@query(
+    "capacity_catalogue",
+    f"""WITH RECURSIVE {ov.FAMILIES}, {ov.mined_with_capacity('families', 'ts', CAPACITY)}
+      SELECT b AS service, n::INTEGER AS n_tokens, no::INTEGER AS template_no, array_to_string(t, ' ') AS template, members FROM left_over""",
+)
+def capacity_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """The templates that are left in the end."""
+    out = templates.mine_with_capacity(views.family_logs(spark, sf), CAPACITY)
+    return out.where("id is null").select("service", "n_tokens", "template_no", "template", "members")
+
+
 @query("mine_line_templates", f"WITH RECURSIVE {_LINE_ROWS}, {ov.mined('rows_', 'ord')} {_CATALOGUE_OUT}")
 def mine_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     mined = templates.mine_patterns(templates.masked_patterns(views.doc_lines(spark, sf)))
@@ -346,8 +372,8 @@ def embed_search(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "search_outcomes",
     f"WITH {ov.LOGS}, q AS (SELECT DISTINCT user_id FROM events) SELECT user_id AS query_id, "
-    "CASE WHEN user_id % 7 = 0 THEN 'error_empty_query' ELSE 'success' END AS outcome, "
-    "CASE WHEN user_id % 7 = 0 THEN 0 ELSE 3 END AS n_hits FROM q",
+    "CASE WHEN user_id % 7 = 0 THEN 'error_empty_query' WHEN n = 0 THEN 'no_results' ELSE 'success' END AS outcome, "
+    "CASE WHEN user_id % 7 = 0 THEN 0 ELSE least(3, n) END::INTEGER AS n_hits FROM q, (SELECT count(*) AS n FROM logs)",
 )
 def search_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     model = em.HashEmbedder(EMBED_DIM)

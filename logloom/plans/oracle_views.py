@@ -127,3 +127,33 @@ def mined(source: str, order: str, by: str = "service", threshold: float = 0.7)
   FROM pats p JOIN steps s ON p.b IS NOT DISTINCT FROM s.b AND p.n = s.n AND p.k = s.k
   JOIN final f ON p.b IS NOT DISTINCT FROM f.b AND p.n = f.n
 )"""
+
+
+def mined_with_capacity(source: str, order: str, capacity: int, by: str = "service", threshold: float = 0.7) -> str:
+    """CTEs `caps` (a row for every row with tokens) and `left_over` (the templates in the end) of the fold with eviction."""
+    return f"""crows AS (
+  SELECT *, row_number() OVER (PARTITION BY b, n ORDER BY o, id) AS k FROM (
+    SELECT id, {order} AS o, {by} AS b, {masked('body')} AS x, len({masked('body')}) AS n FROM {source}) WHERE n > 0
+), caps AS (
+  SELECT DISTINCT b, n, 0::BIGINT AS k, []::VARCHAR[][] AS tpl, []::BIGINT[] AS cnt, NULL::BIGINT AS no, NULL::BOOLEAN AS is_new FROM crows
+  UNION ALL
+  SELECT b, n, k,
+         CASE WHEN hit THEN list_transform(tpl, lambda t, j: CASE WHEN j = best
+           THEN list_transform(t, lambda w, i: CASE WHEN w = x[i] THEN w ELSE '<*>' END) ELSE t END)
+           WHEN len(tpl) < {capacity} THEN list_append(tpl, x)
+           ELSE list_append(list_transform(tpl[:-2], lambda t, j: CASE WHEN j = worst THEN tpl[-1] ELSE t END), x) END,
+         CASE WHEN hit THEN list_transform(cnt, lambda c, j: CASE WHEN j = best THEN c + 1 ELSE c END)
+           WHEN len(tpl) < {capacity} THEN list_append(cnt, 1)
+           ELSE list_append(list_transform(cnt[:-2], lambda c, j: CASE WHEN j = worst THEN cnt[-1] ELSE c END), 1) END,
+         CASE WHEN hit THEN best - 1 ELSE least(len(tpl), {capacity} - 1) END, NOT hit
+  FROM (
+    SELECT *, coalesce(top > 0 AND top::DOUBLE / n >= {threshold}::DOUBLE, false) AS hit, list_position(scores, top) AS best,
+           list_position(cnt, list_min(cnt)) AS worst FROM (
+      SELECT *, list_max(scores) AS top FROM (
+        SELECT s.b, s.n, p.k, s.tpl, s.cnt, p.x, list_transform(s.tpl, lambda t: list_sum(list_transform(t, lambda w, i:
+                 CASE WHEN w = '<*>' OR w = p.x[i] THEN 1 ELSE 0 END))) AS scores
+        FROM caps s JOIN crows p ON s.b IS NOT DISTINCT FROM p.b AND s.n = p.n AND p.k = s.k + 1)))
+), left_over AS (
+  SELECT b, n, unnest(range(0, len(tpl))) AS no, unnest(tpl) AS t, unnest(cnt) AS members
+  FROM (SELECT *, max(k) OVER (PARTITION BY b, n) AS last FROM caps) WHERE k = last
+)"""

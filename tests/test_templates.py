@@ -132,6 +132,46 @@ def test_capacity_evicts_the_least_used():
     assert sorted(known.text(i) for i in range(known.size)) == ["a b", "e f"]
 
 
+def test_eviction_reads_no_other_template():
+    """10,000 templates in use, 3,000 evictions: each looks at a few entries of the heap only, and takes the first of the least used."""
+    known = templates.TemplateSet(3, 1.0, capacity=10_000)
+    for i in range(10_000):
+        known.add([f"a{i}", f"b{i % 50}", "c"], 1 + i % 7)
+    seen = []
+
+    class Counting(list):
+        def __getitem__(self, k):
+            seen.append(k)
+            return list.__getitem__(self, k)
+
+    known.uses = Counting(known.uses)
+    plain = {i: int(known.counts[i]) for i in range(10_000)}
+    for i in range(3_000):
+        worst = min(plain, key=lambda k: (plain[k], k)) if i % 100 == 0 else None
+        before = known.text(worst) if worst is not None else None
+        assert known.add([f"n{i}", "x", "c"], 5) == (9_999, True)
+        if before is not None:
+            assert all(known.text(k) != before for k in (worst, 9_999))
+        plain = {k: int(known.counts[k]) for k in range(10_000)} if i % 100 == 99 else plain
+    assert len(seen) < 40 * 3_000
+    assert all(len(set(p.numbers[: p.n].tolist())) == p.n for p in known.at.values() if isinstance(p, templates.Posting))
+
+
+def test_capacity_of_the_batch_job_is_that_of_a_loop(spark):
+    draw = random.Random(9)
+    rows = [(i, i, "s" if i % 3 else None, " ".join(draw.choice("abcdefgh") + draw.choice("xyz") for _ in range(draw.choice([3, 4])))) for i in range(600)]
+    df = spark.createDataFrame(rows, "ts int, id int, service string, body string")
+    got = templates.mine_with_capacity(df, 5, threshold=0.6).collect()
+    sets, want = {}, {}
+    for _, i, service, text in rows:
+        key = service, len(text.split())
+        known = sets.setdefault(key, templates.TemplateSet(key[1], 0.6, 5))
+        want[i] = known.add(text.split())
+    assert {r["id"]: (r["template_no"], r["is_new"]) for r in got if r["id"] is not None} == want
+    left = {(r["service"], r["n_tokens"], r["template_no"], r["template"], r["members"]) for r in got if r["id"] is None}
+    assert left == {(s, n, k, x.text(k), int(x.counts[k])) for (s, n), x in sets.items() for k in range(x.size)}
+
+
 def test_ingest_modes(spark):
     rows = [(i, i, "s", sev, f"connection refused to db-{i}") for i, sev in enumerate(["INFO", "WARNING", "ERROR", "DEBUG"])]
     df = spark.createDataFrame(rows, "ts int, id int, service string, severity string, body string").withColumn("ts", F.timestamp_seconds("ts"))
