@@ -1,4 +1,4 @@
-"""Streaming admission window, and schedule ticks."""
+"""Streaming admission window."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logloom.functions.analysis import compose_query
 from logloom.streaming.frames import collect_batch, with_object_strings
 
 
@@ -93,15 +92,3 @@ def stream_admission(
         .groupBy("trigger", "query")
         .transformWithStateInPandas(processor, out, "Append", "ProcessingTime" if ttl_seconds else "None")
     )
-
-
-def stream_ticks(spark: SparkSession, name: str, interval_seconds: int, metric_query: str = "", log_query: str = "") -> DataFrame:
-    """Inspection requests of one job as a stream; the first comes one interval after the start."""
-    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option(
-        "advanceMillisPerBatch", interval_seconds * 1000
-    ).load()
-    query = compose_query(F.lit(f"Scheduled inspection: {name}"), F.lit(metric_query), F.lit(log_query))
-    return ticks.select(
-        F.lit("scheduled").alias("trigger"), query.alias("query"),
-        F.timestamp_micros(F.unix_micros("timestamp") + interval_seconds * 1_000_000).alias("create_time"),
-    )

@@ -71,6 +71,10 @@ class TemplateProcessor(StatefulProcessor):
         value = T.StructType([T.StructField("template", T.StringType()), T.StructField("members", T.LongType())])
         self.state = handle.getMapState("templates", number, value, self.ttl_ms or None)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: ANN001, N802, N803
+        for number, text, members in zip(initialState["template_no"], initialState["template"], initialState["members"]):
+            self.state.updateValue((int(number),), (str(text), int(members)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         width = int(key[-1])
         known, stored = TemplateSet(max(width, 1), self.threshold, self.capacity), {}
@@ -118,13 +122,15 @@ def stream_template_outcomes(
     capacity: int | None = None,
     by: tuple[str, ...] = ("service",),
     ttl_seconds: float = 0,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Founding rows, deduplicated = 0, and counts of the rows that found none, deduplicated > 0 and all else null."""
     named = [T.StructField(f.name, f.dataType, True) for f in logs.schema.fields]
     out = T.StructType([*named, T.StructField("raw_body", T.StringType()), T.StructField("deduplicated", T.LongType())])
     rows = combine_repeats(with_tokens(logs), by)
+    first = None if seed is None else seed.select(*by, "n_tokens", "template_no", "template", "members").groupBy(*by, "n_tokens")
     return rows.groupBy(*by, "n_tokens").transformWithStateInPandas(
-        TemplateProcessor(out, threshold, capacity, int(ttl_seconds * 1000)), out, "Append", "ProcessingTime" if ttl_seconds else "None"
+        TemplateProcessor(out, threshold, capacity, int(ttl_seconds * 1000)), out, "Append", "ProcessingTime" if ttl_seconds else "None", first
     )
 
 
@@ -134,6 +140,7 @@ def stream_template_dedup(
     capacity: int | None = None,
     by: tuple[str, ...] = ("service",),
     ttl_seconds: float = 0,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """First row of every template of a log stream, body replaced by the template.
 
@@ -141,8 +148,11 @@ def stream_template_dedup(
     templates per (by, token count), of which changed ones are written. `capacity` limits their number, the one with
     the fewest rows leaving first, and `ttl_seconds` lets templates expire that no row touched for so long; both are off by
     default, as in the batch job. A run with a TTL does not end by itself, as Spark goes on with batches for expiry.
+
+    seed: a catalogue (`template_catalogue` at depth 0), whose templates are there before the first row, so a batch over the past
+    and a stream over what follows give what a batch over both would. It is read when a new checkpoint starts.
     """
-    out = stream_template_outcomes(logs, threshold, capacity, by, ttl_seconds)
+    out = stream_template_outcomes(logs, threshold, capacity, by, ttl_seconds, seed)
     return out.filter("deduplicated = 0").drop("deduplicated")
 
 

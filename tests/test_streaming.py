@@ -11,7 +11,7 @@ from logloom.operators import admission, templates
 from logloom.operators.embed import HashEmbedder
 from logloom.sources.vector_table import read_vectors
 from logloom.streaming import dedup, ingest
-from logloom.streaming.admission import stream_admission, stream_ticks
+from logloom.streaming.admission import stream_admission
 
 LOGS = "id int, s long, service string, severity string, body string"
 
@@ -59,6 +59,21 @@ def test_template_dedup_of_families(spark, tmp_path):
     assert sorted((r.service, r.body) for r in got) == sorted((r.service, r.body) for r in want)
 
 
+def test_seeded_stream_goes_on_where_the_batch_ended(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(i, i, "ab"[i % 2], " ".join(rnd.choice("uvw") + rnd.choice("xyz") for _ in range(rnd.choice([3, 4])))) for i in range(300)]
+    df = spark.createDataFrame(rows, "s int, id int, service string, body string").select(F.timestamp_seconds("s").alias("ts"), "id", "service", "body")
+    past, later = df.where("id < 150"), df.where("id >= 150")
+    seed = templates.template_catalogue(templates.mine_patterns(templates.masked_patterns(past)))
+    path = str(tmp_path / "later")
+    later.write.parquet(path)
+    stream = spark.readStream.schema(later.schema).parquet(path)
+    got = ingest.run_available(dedup.stream_template_dedup(stream, seed=seed), "test-seed")
+    both = {(r["id"], r["body"]) for r in templates.dedup_by_template(df).collect()}
+    assert {(r["id"], r["body"]) for r in got.collect()} == {x for x in both if x[0] >= 150}
+    assert got.count() < templates.dedup_by_template(later).count()  # the seed knows some of them
+
+
 def test_capacity_bounds_the_state(spark, tmp_path):
     rows = [(i, i, "s", "info", f"a{chr(97 + i)} b{chr(97 + i)}") for i in range(6)] + [(9, 9, "s", "info", "aa ba")]
     path = str(tmp_path / "in")
@@ -140,4 +155,3 @@ def test_late_rows_and_hourly_counts(spark, tmp_path):
     df.write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
     assert ingest.hourly_counts(stream).isStreaming and ingest.observe_ingest(stream.withColumn("severity", F.lit("x"))).isStreaming
-    assert stream_ticks(spark, "j", 60).columns == ["trigger", "query", "create_time"]
