@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.jsonv import json_document
+from logloom.plans.ranks import rows_at
 
 DEFAULT_LIMIT = 50
+#: Offsets from which the place is found by counts instead of a top-k of all lines before it.
+DEEP_OFFSET = 10_000
 DIRECTIONS = ("backward", "forward")
 _EDGE = "[0-9A-Za-z_]"
 
@@ -56,8 +59,12 @@ def query_logs(
     direction: str = "backward",
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
+    deep: int = DEEP_OFFSET,
 ) -> DataFrame:
-    """Matching lines of a time span (end exclusive), newest or oldest first; start wins over since."""
+    """Matching lines of a time span (end exclusive), newest or oldest first; start wins over since.
+
+    Lines behind an offset of `deep` or more are found by counting passes (`plans.ranks`), which run when this is called.
+    """
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction {direction!r}")
     if start is None and since_seconds is not None:
@@ -71,5 +78,7 @@ def query_logs(
         out = out.filter(F.col("ts") < F.lit(end))
     if predicate is not None:
         out = out.filter(predicate)
+    if offset >= deep:
+        return rows_at(out, ["-ts" if direction == "backward" else "ts", "id"], offset, limit)
     ts = F.col("ts").desc() if direction == "backward" else F.col("ts").asc()
     return out.orderBy(ts, F.col("id")).offset(offset).limit(limit)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.plans.ranks import rows_at
 from logloom.schemas import REPORT_COLUMNS
 
 DEFAULT_LIST_LIMIT = 50
@@ -121,18 +122,24 @@ def order_by(df: DataFrame, *names: str) -> DataFrame:
     return df.orderBy(*[field(n[1:]).desc() if n.startswith("-") else field(n).asc() for n in names])
 
 
-def page(df: DataFrame, order: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Rows offset … offset + limit of an ordering that is unique.
+#: Offsets from which `page` looks for the place by counts instead of a top-k of all rows before it.
+DEEP_OFFSET = 10_000
 
-    With a limit Spark keeps only offset + limit rows per task. Without one the skipped rows, as many as the
-    caller names, are anti-joined away, as a bare offset would bring all rows into one task.
+
+def page(df: DataFrame, order: list[str], limit: int | None = None, offset: int = 0, deep: int = DEEP_OFFSET) -> DataFrame:
+    """Rows offset … offset + limit of an ordering; rows with equal keys are in any order.
+
+    With a limit and a small offset Spark keeps only offset + limit rows per task. Otherwise the place is found by counting
+    passes (`plans.ranks`), which run when this is called: no task holds the rows before it, and no id need be unique.
     """
-    if limit is not None:
-        return order_by(df, *order).offset(offset).limit(limit)
+    for name in order:
+        field(name.removeprefix("-"))
     if not offset:
-        return order_by(df, *order)
-    skipped = order_by(df, *order).limit(offset).select("id")
-    return order_by(df.join(skipped, "id", "left_anti"), *order)
+        ordered = order_by(df, *order)
+        return ordered if limit is None else ordered.limit(limit)
+    if limit is not None and offset < deep:
+        return order_by(df, *order).offset(offset).limit(limit)
+    return rows_at(df, order, offset, limit)
 
 
 def first(df: DataFrame, order: list[str]):

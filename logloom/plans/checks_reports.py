@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from logloom.functions import analysis
 from logloom.operators import admission, enrich, lifecycle, notify, reports, schedule
 from logloom.plans import oracle_views as ov
+from logloom.plans import ranks
 from logloom.plans import views
+from logloom.schemas import REPORT_ENUMS
 from logloom.session import new_table_path
 from logloom.streaming.admission import stream_admission
 from logloom.streaming.ingest import run_available
@@ -148,6 +150,66 @@ def report_page(spark: SparkSession, sf: str) -> DataFrame:
     return reports.page(views.reports(spark, sf).select("id", "severity", "iterations"), ["severity", "-iterations", "id"], 25, 40)
 
 
+@query(
+    "report_exist",
+    f"WITH {ov.REPORTS}, s AS (SELECT unnest(['queued', 'pending', 'running', 'completed', 'failed']) AS status) "
+    "SELECT status, EXISTS (SELECT 1 FROM reports r WHERE r.status = s.status) AS found FROM s",
+)
+def report_exist(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether there is a report of each status."""
+    r = views.reports(spark, sf)
+    found = [(s, reports.exists(r.filter(reports.eq("status", s)))) for s in REPORT_ENUMS["status"]]
+    return spark.createDataFrame(found, "status string, found boolean")
+
+
+@query(
+    "report_first",
+    f"""WITH {ov.REPORTS} SELECT 'oldest' AS asked, id FROM (SELECT id FROM reports ORDER BY create_time, id LIMIT 1)
+      UNION ALL SELECT 'busiest' AS asked, id FROM (SELECT id FROM reports ORDER BY iterations DESC, id DESC LIMIT 1)""",
+)
+def report_first(spark: SparkSession, sf: str) -> DataFrame:
+    r = views.reports(spark, sf)
+    found = [("oldest", reports.first(r, ["create_time", "id"])["id"]), ("busiest", reports.first_id(r, ["-iterations", "-id"]))]
+    return spark.createDataFrame(found, "asked string, id long")
+
+
+@query(
+    "report_only",
+    f"""WITH {ov.REPORTS}, m AS (SELECT max(id) AS id FROM reports), n AS (SELECT count(*) AS n FROM reports WHERE status = 'queued')
+      SELECT 'one' AS asked, id FROM m UNION ALL SELECT 'none', -1 UNION ALL SELECT 'several', CASE WHEN n > 1 THEN -2 ELSE NULL END FROM n""",
+)
+def report_only(spark: SparkSession, sf: str) -> DataFrame:
+    """The single report of a condition; -1 where there is none and -2 where there are several."""
+    r = views.reports(spark, sf)
+    last = r.agg(F.max("id")).first()[0]
+    found = []
+    for asked, rows in (("one", r.filter(reports.eq("id", last))), ("none", r.filter(reports.eq("id", -5))), ("several", r.filter(reports.eq("status", "queued")))):
+        try:
+            found.append((asked, reports.only(rows)["id"] if asked == "one" else reports.only_id(rows)))
+        except reports.NotFoundError:
+            found.append((asked, -1))
+        except reports.NotSingularError:
+            found.append((asked, -2))
+    return spark.createDataFrame(found, "asked string, id long")
+
+
+@query(
+    "report_jump",
+    f"WITH {ov.REPORTS} SELECT id, iterations FROM reports ORDER BY iterations DESC, id OFFSET (SELECT count(*) // 2 FROM reports) LIMIT 70",
+)
+def report_jump(spark: SparkSession, sf: str) -> DataFrame:
+    """Seventy reports in the middle of an ordering with few values, found by counting passes."""
+    r = views.reports(spark, sf).select("id", "iterations")
+    return ranks.rows_at(r, ["-iterations", "id"], r.count() // 2, 70, rows=200)
+
+
+@query("log_jump", f"WITH {ov.LOGS} SELECT id FROM logs ORDER BY ts DESC, id OFFSET (SELECT count(*) * 9 // 10 FROM logs)")
+def log_jump(spark: SparkSession, sf: str) -> DataFrame:
+    """The oldest tenth of the logs, newest first."""
+    logs = views.logs(spark, sf).select("id", "ts")
+    return ranks.rows_at(logs, ["-ts", "id"], logs.count() * 9 // 10, rows=300).select("id")
+
+
 @query("report_offset", f"WITH {ov.REPORTS} SELECT id, iterations FROM reports ORDER BY iterations DESC, id OFFSET 100")
 def report_offset(spark: SparkSession, sf: str) -> DataFrame:
     return reports.page(views.reports(spark, sf).select("id", "iterations"), ["-iterations", "id"], None, 100)
