@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import ann, knn
+from logloom.operators.embed import HashEmbedder
 from logloom.plans import oracle_views as ov
 from logloom.plans import views
 from logloom.plans.checks_logs import _E, _all_queries, _hits, _knn_sql
 from logloom.session import new_table_path
 from logloom.sources import vector_store
+from logloom.streaming.ingest import stream_into_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +132,53 @@ def vector_store_replay(spark: SparkSession, sf: str) -> DataFrame:
 def vector_store_compacted(spark: SparkSession, sf: str) -> DataFrame:
     """The same calls with three compactions between them; what comes after the last is resolved at read."""
     return _replayed(spark, sf, (4, 10, 16))
+
+
+# --- one pass, several sinks ------------------------------------------------------------------------
+
+_SINK = f"""WITH {ov.LOGS}, r AS (
+    SELECT id, ts, severity, CASE WHEN id % 13 = 0 THEN '' WHEN id % 17 = 0 THEN repeat('x', 5000) ELSE body END AS body,
+           CASE WHEN id % 11 = 0 THEN 'late' WHEN severity = 'debug' THEN 'filtered' WHEN id % 13 = 0 THEN 'record vector is required'
+                WHEN id % 17 = 0 THEN 'too long: body' ELSE 'stored' END AS outcome
+    FROM logs)"""
+
+
+def _sinks(spark: SparkSession, sf: str) -> str:
+    """The log stream, with gaps and late rows, through the splitting writer twice; the second run finds all calls made."""
+    path = new_table_path(spark, "sinks")
+    fields = {"id": "string", "vector": "array<float>", "ts": "timestamp", "service": "string", "severity": "string", "body": "string"}
+    vector_store.create(spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in fields.items())), f"{path}/store")
+    rows = views.as_logs(views.event_stream(spark, sf))
+    rows = rows.select(
+        F.col("id").cast("string").alias("id"), "ts", "service", "severity",
+        F.when(F.col("id") % 13 == 0, "").when(F.col("id") % 17 == 0, F.repeat(F.lit("x"), F.lit(5000))).otherwise(F.col("body")).alias("body"),
+        F.when(F.col("id") % 11 == 0, F.col("ts") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts")).alias("arrived"),
+    )
+    for run in range(2):
+        writer = stream_into_store(rows, HashEmbedder(8), f"{path}/store", f"{path}/side", f"{path}/check{run}", min_severity="info")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@query("stream_sinks", f"{_SINK} SELECT outcome, count(*) AS n FROM r GROUP BY 1")
+def stream_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every outcome as they lie in the store and the side tables."""
+    path = _sinks(spark, sf)
+    counts = spark.read.parquet(f"{path}/side/counts").agg(F.sum("filtered").alias("n")).select(F.lit("filtered").alias("outcome"), "n")
+    stored = vector_store.read(spark, f"{path}/store").select(F.lit("stored").alias("outcome"))
+    rejects = spark.read.parquet(f"{path}/side/rejects").select(F.col("error").alias("outcome"))
+    late = spark.read.parquet(f"{path}/side/late").select(F.lit("late").alias("outcome"))
+    return stored.union(rejects).union(late).groupBy("outcome").agg(F.count("*").alias("n")).union(counts)
+
+
+@query(
+    "stream_sink_counts",
+    f"""{_SINK} SELECT count(*) AS rows, count(*) FILTER (outcome = 'stored') AS stored, 0::BIGINT AS repeated, count(*) FILTER (outcome IN ('record vector is required', 'too long: body')) AS rejected,
+      count(*) FILTER (outcome = 'late') AS late, count(*) FILTER (outcome = 'filtered') AS filtered, TRUE AS complete FROM r""",
+)
+def stream_sink_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of all batches, and whether they add up in each."""
+    names = ("rows", "stored", "repeated", "rejected", "late", "filtered")
+    counts = spark.read.parquet(f"{_sinks(spark, sf)}/side/counts")
+    whole = F.col("rows") == F.col("stored") + F.col("repeated") + F.col("rejected") + F.col("late") + F.col("filtered")
+    return counts.agg(*[F.sum(c).alias(c) for c in names], F.bool_and(whole).alias("complete"))
