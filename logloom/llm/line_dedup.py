@@ -158,7 +158,7 @@ def _without(text: Column, lost: Column) -> Column:
 
 def op8_line_templates(spark, sf_dir: str) -> DataFrame:
     """What the line de-duplication leaves of every document, every recurring line dropped."""
-    out = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    out = drop_recurring_lines(table(spark, sf_dir, "documents"), short_lines=True)
     return out.select(
         "doc_id",
         F.col("__n_lines").cast("long").alias("n_lines"),
@@ -183,6 +183,8 @@ WITH l AS (
   SELECT doc, of, line, n, k, array_to_string(tokens[1:least(n, 2 + width * k)], chr(9)) AS a,
          array_to_string(tokens[3 + width * (k + 1):], chr(9)) AS b
   FROM w, range(4) r(k)
+  UNION ALL
+  SELECT doc, of, line, len(tokens), -1, array_to_string(tokens, chr(9)), '' FROM t WHERE len(tokens) BETWEEN 1 AND 4
 ), r AS (
   SELECT n, k, a, b, min(doc) AS first FROM i GROUP BY ALL HAVING min(doc) < max(doc)
 ), f AS (
