@@ -173,11 +173,23 @@ def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """Words taken of every document, and its place in the curriculum."""
-    return mix(table(spark, sf_dir, "documents")).drop("source", "positions")
+    """Words taken of every document, and the places in the curriculum of its first, second and third copy."""
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("*", *[F.get("positions", F.lit(k - 1)).alias(f"position_{k}") for k in (2, 3)]).drop("source", "positions")
 
 
-SQL = r"""
+def _time_sql(due: str) -> str:
+    """The inverse of the schedules' integrals in SQL."""
+    return f"""CASE kind
+         WHEN 0 THEN 0.0::DOUBLE + {due} * 2 / (0.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + {due} * 2.0::DOUBLE)))
+         WHEN 1 THEN 0.0::DOUBLE + {due} * 2 / (1.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE + {due} * 0.0::DOUBLE)))
+         ELSE CASE WHEN {due} < 0.625::DOUBLE
+           THEN 0.0::DOUBLE + {due} * 2 / (1.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE + {due} * -2.0::DOUBLE)))
+           ELSE 0.5::DOUBLE + ({due} - 0.625::DOUBLE) * 2 / (1.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE + ({due} - 0.625::DOUBLE) * -2.0::DOUBLE)))
+         END END"""
+
+
+SQL = rf"""
 WITH s AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '')) AS ord
@@ -203,16 +215,12 @@ WITH s AS (
   FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source
 ), c AS (
   SELECT *, passes + CASE WHEN passes < 3 AND begun * 2 + size <= (target - passes * source_size) * 2 THEN 1 ELSE 0 END AS copies,
-         CASE WHEN target > 0 THEN least(1.0::DOUBLE, begun / target) ELSE 1.0::DOUBLE END AS due
+         CASE WHEN target > 0 THEN least(1.0::DOUBLE, begun / target) ELSE 1.0::DOUBLE END AS due,
+         least(1.0::DOUBLE, (1 * source_size + begun) / target) AS due_2, least(1.0::DOUBLE, (2 * source_size + begun) / target) AS due_3
   FROM b
 )
 SELECT doc_id, size, source_size, target, copies::INT AS copies, (copies * size)::BIGINT AS taken,
-       CASE kind
-         WHEN 0 THEN 0.0::DOUBLE + due * 2 / (0.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + due * 2.0::DOUBLE)))
-         WHEN 1 THEN 0.0::DOUBLE + due * 2 / (1.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE + due * 0.0::DOUBLE)))
-         ELSE CASE WHEN due < 0.625::DOUBLE
-           THEN 0.0::DOUBLE + due * 2 / (1.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE + due * -2.0::DOUBLE)))
-           ELSE 0.5::DOUBLE + (due - 0.625::DOUBLE) * 2 / (1.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE + (due - 0.625::DOUBLE) * -2.0::DOUBLE)))
-         END END AS position
+       {_time_sql('due')} AS position, CASE WHEN copies >= 2 THEN {_time_sql('due_2')} END AS position_2,
+       CASE WHEN copies >= 3 THEN {_time_sql('due_3')} END AS position_3
 FROM c
 """
