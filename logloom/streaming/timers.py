@@ -64,6 +64,7 @@ class OrderedAdmission(StatefulProcessor):
 
     def __init__(self, row: T.StructType, out: T.StructType, window_us: int):
         self.row, self.out, self.window_us = row, out, window_us
+        self.at, self.whole = row.names.index("us"), [isinstance(f.dataType, T.IntegralType) for f in row]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -75,28 +76,22 @@ class OrderedAdmission(StatefulProcessor):
         out["admitted"], out["blocked_by"], out["late"] = admitted, pd.Series(blocked_by, dtype=object), late
         return out[self.out.names]
 
+    def _row(self, values: tuple) -> tuple:
+        """Values as the state takes them: pandas turns whole numbers with nulls into floats."""
+        return tuple(None if pd.isna(v) else int(v) if whole else v for v, whole in zip(values, self.whole, strict=True))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        passed, new, late, least = _passed_us(timer_values), [], [], None
-        for part in rows:
-            for r in with_object_strings(part)[self.row.names].itertuples(index=False):
-                row = tuple(None if v is pd.NaT or v is None else v for v in r)
-                if r._asdict()["us"] <= passed:
-                    late.append(row)
-                else:
-                    new.append(row)
-                    least = row[self.at] if least is None else min(least, row[self.at])
+        passed = _passed_us(timer_values)
+        came = [self._row(r) for part in rows for r in with_object_strings(part)[self.row.names].itertuples(index=False, name=None)]
+        new, late = [r for r in came if r[self.at] > passed], [r for r in came if r[self.at] <= passed]
         if new:
-            held = list(self.handle.listTimers())
+            held, least = list(self.handle.listTimers()), min(r[self.at] for r in new)
             self.waiting.appendList(new)
             if not held or least // 1000 + 1 < min(held):
                 _reset(self.handle, least)
         if late:
             yield self._frame(late, [False] * len(late), [None] * len(late), True)
 
-    @property
-    def at(self) -> int:
-        return self.row.names.index("us")
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed, at, name = _passed_us(timerValues), self.at, self.row.names.index("id")
         rows = [tuple(r) for r in self.waiting.get()]
@@ -115,14 +110,13 @@ class OrderedAdmission(StatefulProcessor):
             blocked_by.append(None if free else owner)
             if free:
                 us, owner = r[at], str(r[name])
-        if us is not None and us + self.window_us >= passed or rest:
-            self.last.update((us, owner)) if us is not None else None
-        elif us is not None and self.last.exists():
+        moments = [r[at] for r in rest]
+        if us is not None and us + self.window_us > passed:
+            self.last.update((us, owner))
+            moments.append(us + self.window_us)  # the state ends with the window
+        elif self.last.exists():
             self.last.clear()  # it can block no row that is still to come
-        due_next = min((r[at] for r in rest), default=None)
-        if due_next is None and self.last.exists():
-            due_next = us + self.window_us + 1  # the state ends with the window
-        _reset(self.handle, due_next)
+        _reset(self.handle, min(moments, default=None))
         if due:
             yield self._frame(due, admitted, blocked_by, False)
 
@@ -139,13 +133,16 @@ def stream_admission_in_order(
     decisions of `admit_requests`, and one without a time is not admitted. A request that arrives behind the watermark is `late`, is not admitted and blocks nothing. A key
     leaves the state when its window is over.
     """
-    columns = [f for f in requests.schema.fields]
+    times = [f.name for f in requests.schema.fields if isinstance(f.dataType, T.TimestampType)]  # numbers in the state, so no zone shifts them
+    columns = [T.StructField(f.name, T.LongType() if f.name in times else f.dataType) for f in requests.schema.fields]
     row = T.StructType([*columns, T.StructField("us", T.LongType())])
     out = T.StructType([*columns, *(T.StructField(n, t) for n, t in (("admitted", T.BooleanType()), ("blocked_by", T.StringType()), ("late", T.BooleanType())))])
-    keyed = clocked(requests, "create_time", delay, clock).withColumnRenamed("_us", "us")
+    keyed = clocked(requests, "create_time", delay, clock)
+    keyed = keyed.select(*[F.unix_micros(f.name).alias(f.name) if f.name in times else f.name for f in columns], F.col("_us").alias("us"))
     decided = keyed.groupBy("trigger", "query").transformWithStateInPandas(
         OrderedAdmission(row, out, int(window_seconds * 1_000_000)), out, "Append", "EventTime"
     )
+    decided = decided.select(*[F.timestamp_micros(n).alias(n) if n in times else n for n in out.names])
     timeless = requests.where("create_time is null").withColumn("admitted", F.lit(False)).withColumn("blocked_by", F.lit(None).cast("string"))
     return decided.unionByName(timeless.withColumn("late", F.lit(False)))
 
