@@ -28,7 +28,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, Jaccard similarity of five-word shingles 0.8 or more: that with the smallest id."""
+    """One document of each class of near copies: that with the smallest id.
+
+    SimHash gives the candidates, the Jaccard similarity of five-word shingles, 0.8 or more, decides; what SimHash misses of such
+    pairs is found by prefix filtering.
+    """
     return near_copies.first_of_each(docs)
 
 

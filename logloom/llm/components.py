@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize
+from logloom.llm.common import drop, stored
+
+#: Edges of a partition: a table of few edges is not spread over many tasks, each of which would leave files behind.
+EDGES_AT_ONCE = 1 << 18
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,7 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     null end are no edges. An empty table gives an empty result.
     """
     a, b = edges.columns
-    now = materialize(
+    spark = edges.sparkSession
+    now, path = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
         "edges",
     )
@@ -29,22 +33,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if mark[0] == 0 or mark == before:
             break
-        before = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, parts = mark, 1 + mark[0] // EDGES_AT_ONCE
+        old = path
+        now, path = stored(_small_star(_large_star(now.coalesce(parts), parts), parts).coalesce(parts), "edges")
+        drop(spark, old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.union(edges.select("v", "u"))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
+    moved = both.where("v > u").join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to the smallest of them."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
     moved = edges.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(smallest).distinct()
+    return moved.union(smallest).coalesce(parts).distinct()

@@ -1,4 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles: every pair at 4/5 or more is a link.
+"""Near copies by SimHash and the exact Jaccard similarity of word shingles: every pair at 4/5 or more is a link.
+
+The texts get SimHash fingerprints of the same shingles, and those with at most two differing bits are compared first, a group of equal
+fingerprints and a link between two groups by their first texts; the exact similarity decides. As SimHash misses most pairs near the
+threshold, prefix filtering then finds the others:
 
 Prefix filtering as in Chaudhuri, Ganti, Kaushik, "A Primitive Operator for Similarity Joins in Data Cleaning", ICDE 2006, with
 the position bound of Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", WWW 2008. In one order of all shingles,
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.llm import simhash
 from logloom.llm.common import drop, map_rows, materialize, stored
 from logloom.llm.components import components
 from logloom.llm.simhash import classes_of, stay_of_each
@@ -140,9 +145,22 @@ def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int = 5) ->
     return pairs.groupBy("x", "y").cogroup(held.groupBy("of_x", "of_y")).applyInArrow(compare, "a long, b long")
 
 
+def simhash_candidates(texts: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+    """Pairs (a, b) of texts of (node, text) whose fingerprints differ in at most two bits: of a group of equal fingerprints its
+    first text with each other one, of two groups their first texts."""
+    marks = materialize(simhash.fingerprints(texts, "node", "text", words_per_shingle).withColumnRenamed("doc_id", "node").distinct(), "fingerprints")
+    groups = marks.groupBy("fp").agg(F.min("node").alias("first"))
+    same = marks.join(groups, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [groups.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
+    near = simhash.links(groups.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return same.union(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))).distinct()
+
+
 def links(texts: DataFrame, words_per_shingle: int = 5, long_list: int = LONG_LIST) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of the texts of (node, text) with similarity 4/5 or more."""
     spark = texts.sparkSession
+    seeds, seeds_path = stored(simhash_candidates(texts, words_per_shingle), "seeds")
+    linked = materialize(verified(seeds, texts, words_per_shingle), "links")
     common = _long_lists(texts, words_per_shingle, long_list)
     order = Window.partitionBy("shingle").orderBy("n", "node")
     postings = _prefixes(texts, words_per_shingle, common).select("node", "n", F.posexplode("shingles").alias("at", "shingle"))
@@ -155,16 +173,16 @@ def links(texts: DataFrame, words_per_shingle: int = 5, long_list: int = LONG_LI
     near = listed.where("before is not null").where(_possible(F.col("n"), F.col("before.n"), F.col("at"), F.col("before.at")))
     block = F.min(F.struct(F.col("shingle").alias("x"), F.floor(F.col("place") / BLOCK).alias("y"))).alias("block")
     pairs = near.groupBy(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).agg(block)
-    pairs, pairs_path = stored(pairs.select("a", "b", "block.*"), "pairs")
-    linked = materialize(verified(pairs, texts, words_per_shingle), "links")
+    pairs, pairs_path = stored(pairs.select("a", "b", "block.*").join(seeds, ["a", "b"], "left_anti"), "pairs")
+    linked = linked.union(materialize(verified(pairs, texts, words_per_shingle), "links"))
 
     roots = components(linked)
     named = listed.drop("before", "place").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    rows, compared, more = _grown(named, pairs.select("a", "b"), texts, words_per_shingle)
+    rows, compared, more = _grown(named, pairs.select("a", "b").union(seeds), texts, words_per_shingle)
     for part in more:
         linked = linked.union(part)
     rest, rest_path = stored(_across_classes(rows).join(compared, ["a", "b"], "left_anti"), "pairs")
-    for path in (listed_path, pairs_path):
+    for path in (listed_path, pairs_path, seeds_path):
         drop(spark, path)
     if not rest.isEmpty():
         linked = linked.union(materialize(verified(rest, texts, words_per_shingle), "links"))
