@@ -11,15 +11,13 @@ as well, so the answer is that of a full scan whatever the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from logloom.operators.knn import FEW_QUERIES, _by_blocks, _prepared, _scan_with, _top, assign_cells
+from logloom.operators.knn import FEW_QUERIES, _by_blocks, _cells_in_blocks, _one_cell, _prepared, _scan_with, _top, probes
+from logloom.session import materialize
 from logloom.sources import vector_store
 
 
@@ -28,11 +26,16 @@ def _records(spark, path: str, where: Column | None, **span) -> DataFrame:
     return rows if where is None else rows.where(where)
 
 
-def _probed(q: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
-    """A row for each cell that a query probes."""
+def _sizes(v: DataFrame) -> list:
+    """(cell, n, reach) of the cells that have records, in order: one row for a cell."""
+    return v.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("reach")).orderBy("cell").collect()
+
+
+def _in_blocks(q: DataFrame, v: DataFrame, centres: np.ndarray, sizes: list, opened) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    v = v.select("id", "vector", "cell")
     if len(centres) == 1:
-        return q.withColumn("cell", F.pmod(F.xxhash64("query_id"), F.lit(1)).cast("int"))  # no literal: the key of the join stays a key
-    return assign_cells(q, "query_vector", centres, n).select("query_id", "query_vector", F.explode("cells").alias("cell"))
+        return _one_cell(q, v)
+    return _cells_in_blocks(q, v, [(r["cell"], r["n"]) for r in sizes], centres.shape[1], opened)
 
 
 def search_store(
@@ -57,8 +60,9 @@ def search_store(
         return _top(_scan_with(rows, v, k, metric, ddl, arrow), k, metric)
     v = _records(spark, path, where, since=since, until=until)
     q, _, ddl, arrow = _prepared(queries, v, metric)
-    asked = _probed(q, centres, n)
-    return _top(_by_blocks(asked, v.select("id", "vector", "cell"), k, metric, ddl, arrow), k, metric)
+    sizes = _sizes(v) if len(centres) > 1 else []
+    met = _in_blocks(q, v, centres, sizes, lambda _, m: probes(m, centres, n))
+    return _top(_by_blocks(*met, k, metric, ddl, arrow), k, metric)
 
 
 def search_exact(queries: DataFrame, path: str, k: int = 10, first_probe: int = 1) -> DataFrame:
@@ -66,28 +70,24 @@ def search_exact(queries: DataFrame, path: str, k: int = 10, first_probe: int =
     spark = queries.sparkSession
     centres = vector_store.centroids(spark, path)
     v = _records(spark, path, None)
-    reach = {r["cell"]: r["reach"] for r in v.groupBy("cell").agg(F.max("dist").alias("reach")).collect()}  # one for a cell
+    sizes = _sizes(v)
     q, _, ddl, arrow = _prepared(queries, v, "l2")
-    records = v.select("id", "vector", "cell")
-    first = _top(_by_blocks(_probed(q, centres, first_probe), records, k, "l2", ddl, arrow), k, "l2")
+    met = _in_blocks(q, v, centres, sizes, lambda _, m: probes(m, centres, first_probe))
+    first = _top(_by_blocks(*met, k, "l2", ddl, arrow), k, "l2")
     if len(centres) == 1:
         return first
+    first = materialize(first, "first-hits")  # the bounds and the result read it
     least = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).cast("double").alias("least"))
-    schema = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
-    far = np.array([reach.get(c, -np.inf) for c in range(len(centres))])
-
-    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors, bound = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-            away = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] - 2 * m @ centres.T + (centres * centres).sum(1)))
-            limit = np.where(np.isnan(bound), np.inf, np.sqrt(np.maximum(bound, 0)))
-            open_ = away - far <= limit[:, None] * (1 + 1e-5) + 1e-6  # scores are single precision
-            np.put_along_axis(open_, vector_store.probe_order(m, centres)[:, :first_probe], False, axis=1)
-            rows, cells = np.nonzero(open_)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([ids.take(at), vectors.take(at), pa.array(cells, pa.int32())], names=["query_id", "query_vector", "cell"])
-
-    more = q.join(least, "query_id", "left").select("query_id", "query_vector", "least").mapInArrow(open_cells, schema)
-    rest = _by_blocks(more, records, k, "l2", ddl, arrow)
+    far = np.full(len(centres), -np.inf)
+    far[[r["cell"] for r in sizes]] = [r["reach"] for r in sizes]
+
+    def open_cells(rows: pa.RecordBatch, m: np.ndarray) -> np.ndarray:
+        bound = rows.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+        away = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] - 2 * m @ centres.T + (centres * centres).sum(1)))
+        limit = np.where(np.isnan(bound), np.inf, np.sqrt(np.maximum(bound, 0)))
+        open_ = away - far <= limit[:, None] * (1 + 1e-5) + 1e-6  # scores are single precision
+        return open_ & ~probes(m, centres, first_probe)
+
+    more = q.join(least, "query_id", "left").select("query_id", "query_vector", "least")
+    rest = _by_blocks(*_in_blocks(more, v, centres, sizes, open_cells), k, "l2", ddl, arrow)
     return _top(first.select("query_id", "id", "score").union(rest.select("query_id", "id", "score")), k, "l2")
