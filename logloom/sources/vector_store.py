@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from logloom.operators.ingest_filter import COLUMN_LIMITS, check_column_limits, validate_records
 from logloom.operators.knn import knn, train_cells
+from logloom.session import new_table_path
 
 #: Cells at most, vectors that train a cell, rows of a file, and queries that the probes are measured with.
 MOST_CELLS, TRAIN_ROWS, FILE_ROWS, MEASURE_QUERIES = 4096, 256, 200_000, 100
@@ -162,6 +163,13 @@ def _last_of_each(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def _written(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, computed once for several reads, and the table of the shared folder that holds them."""
+    where = new_table_path(rows.sparkSession, "records")
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where), where
+
+
 def _write_base(rows: DataFrame, path: str, gen: int) -> None:
     """Write records by day and cell; a cell of a day is cut into files of about FILE_ROWS rows."""
     files = rows.groupBy("day", "cell").agg(F.ceil(F.count("*") / FILE_ROWS).alias("__files"))
@@ -176,7 +184,7 @@ def create(rows: DataFrame, path: str, n_cells: int | None = None, seed: int = 7
     """
     spark = rows.sparkSession
     good, rejects = checked(rows)
-    good = _last_of_each(good)
+    good, kept = _written(_last_of_each(good))
     n = good.count()
     k = n_cells or cells_for(n)
     share = min(1.0, k * TRAIN_ROWS / max(1, n))
@@ -186,6 +194,7 @@ def create(rows: DataFrame, path: str, n_cells: int | None = None, seed: int = 7
         [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centroid array<double>"
     ).coalesce(1).write.parquet(f"{path}/centroids")
     _write_base(_placed(good, centres), path, 0)
+    _delete(spark, kept)
     days = {r["day"]: 0 for r in _all_days(spark, path, rows.schema, 0)}
     snap = _write_snapshot(spark, path, Snapshot(0, 0, len(centres), rows.schema, days))
     if n:
@@ -366,7 +375,9 @@ def compact(spark: SparkSession, path: str) -> Snapshot:
     if touched:
         part = Snapshot(snap.number, snap.folded, snap.n_probe, snap.schema, {d: g for d, g in live.days.items() if d in touched})
         rows = read(spark, path, meta=True, upto=upto, snap=part).where(F.col("day").isin(sorted(touched)))
+        rows, kept = _written(rows)
         _write_base(rows, path, gen)
+        _delete(spark, kept)
         days |= {r["day"]: gen for r in _all_days(spark, path, snap.schema, gen)}
     return _write_snapshot(spark, path, Snapshot(snap.number + 1, upto, snap.n_probe, snap.schema, days))
 
