@@ -195,13 +195,15 @@ def masked_patterns(
     ts: str = "ts",
     id_col: str = "id",
     body: str = "body",
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """One row per (partition columns, token count, masked text): row count and the whole first-seen row.
 
-    Rows without tokens never match anything: each stays a pattern of its own (`lone` is its id).
+    Rows without tokens never match anything: each stays a pattern of its own (`lone` is its id). keep: the columns of the first-seen
+    row that are wanted, with ts and id_col; a catalogue does without the body, which is as long as the masked text.
     """
     t = with_tokens(logs, body)
-    first = F.min_by(F.struct(*logs.columns), F.struct(ts, id_col))
+    first = F.min_by(F.struct(*(keep or logs.columns)), F.struct(ts, id_col))
     return (
         t.withColumn("lone", F.when(F.col("n_tokens") == 0, F.col(id_col)))
         .groupBy(*partition_by, "n_tokens", "masked", "lone")
@@ -219,15 +221,17 @@ def mine_patterns(
 ) -> DataFrame:
     """Greedy fold of distinct patterns: adds prefix, is_new, template_no, created_template and template (final).
 
-    prefix: the first `depth` tokens, NULL at depth 0. Patterns and result are written to the shared folder: both
-    are read by several branches, and the patterns stand for the one pass over the logs.
+    prefix: the first `depth` tokens, NULL at depth 0. The folded patterns are written to the shared folder, once; they stand for the one
+    pass over the logs. The final templates are joined to them when the result is read, so columns that a reader leaves out, above all
+    the texts, do not travel again.
     """
-    stored = materialize(patterns, "patterns")
     prefix = F.concat_ws(" ", F.slice(F.split("masked", " "), 1, depth)) if depth else F.lit(None).cast("string")
-    keyed = stored.filter("n_tokens > 0").drop("lone").withColumn("prefix", prefix)
+    # rows without tokens go through as they are, `lone` spreads them
+    keyed = patterns.withColumn("prefix", F.when(F.col("n_tokens") > 0, prefix))
     added = T.StructType.fromDDL("is_new boolean, template_no int, created_template string, template string")
     group = [*partition_by, "n_tokens", "prefix"]
-    schema = T.StructType(keyed.schema.fields + added.fields)
+    # the rows that stand for templates have nulls in all columns but their key
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in keyed.schema.fields if f.name != "lone"] + added.fields)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, layout = None, None, to_arrow_schema(schema)
@@ -253,10 +257,16 @@ def mine_patterns(
             number, new, created = [], [], []
             widths, finished = batch.column("n_tokens"), []
             for k, text in enumerate(batch.column("masked").to_pylist()):
-                if k in cuts or known is None:
+                if k in cuts or last is None:
                     if known is not None:
                         finished.append(catalogue())
-                    known, last = TemplateSet(widths[k].as_py(), threshold), batch.slice(k, 1)
+                    width = widths[k].as_py()
+                    known, last = TemplateSet(width, threshold) if width else None, batch.slice(k, 1)
+                if known is None:
+                    number.append(None)
+                    new.append(True)
+                    created.append(None)
+                    continue
                 i, is_new = known.add(text.split(" "))
                 number.append(i)
                 new.append(is_new)
@@ -274,20 +284,17 @@ def mine_patterns(
             yield catalogue()
 
     folded = materialize(
-        keyed.repartition(*group)
+        keyed.repartition(*group, "lone")
+        .drop("lone")
         .sortWithinPartitions(*group, F.col(f"first.{ts}"), F.col(f"first.{id_col}"))
         .mapInArrow(fold, schema),
         "folded",
     )
     # struct keys compare NULL services and prefixes as equal
     key = F.struct(*group, "template_no").alias("_key")
-    final = folded.filter("masked IS NULL").select(key, "template")
-    named = folded.filter("masked IS NOT NULL").drop("template").withColumn("_key", key).join(final, "_key").drop("_key")
-    lone = stored.filter("n_tokens = 0").drop("lone").select(
-        "*", F.lit(None).cast("string").alias("prefix"), F.lit(True).alias("is_new"),
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in added.fields[1:]],
-    )
-    return materialize(named.unionByName(lone), "templates")
+    final = folded.filter("n_tokens > 0 AND masked IS NULL").select(key, "template")
+    named = folded.filter("n_tokens > 0 AND masked IS NOT NULL").drop("template").withColumn("_key", key).join(final, "_key").drop("_key")
+    return named.unionByName(folded.filter("n_tokens = 0"))
 
 
 def mine_templates(
