@@ -13,6 +13,8 @@ from logloom.schemas import REPORT_COLUMNS, REPORT_ENUMS
 
 DRAINED = "Analysis queue drained during shutdown"
 QUEUE_FULL = "Analysis queue is full, request rejected"
+#: Ids that one task compares.
+IDS_AT_ONCE = 500_000
 
 
 class ConstraintError(ValueError):
@@ -49,10 +51,18 @@ def check_report(rows: DataFrame) -> DataFrame:
 
 
 def split_new(current: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id is new, and rows that repeat an id of the table or of their own batch."""
-    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    taken = rows.select("id").join(current.select("id"), "id", "left_semi").union(repeated).distinct()
-    return rows.join(taken, "id", "left_anti"), rows.join(taken, "id", "left_semi")
+    """Rows whose id is new, and rows that repeat an id of the table or of their own batch.
+
+    Both are counted first, as small ids would else come together in few tasks: a task takes about IDS_AT_ONCE of them.
+    """
+    parts = 1 + (rows.count() + current.count()) // IDS_AT_ONCE
+    seen = rows.select("id", F.lit(1).alias("new"), F.lit(0).alias("old")).unionByName(
+        current.select("id", F.lit(0).alias("new"), F.lit(1).alias("old"))
+    )
+    counted = seen.repartition(parts, "id").groupBy("id").agg(F.sum("new").alias("new"), F.max("old").alias("old"))
+    taken = counted.filter("new > 1 OR (new = 1 AND old = 1)").select("id")
+    dealt = rows.repartition(parts, "id")
+    return dealt.join(taken, "id", "left_anti"), dealt.join(taken, "id", "left_semi")
 
 
 def current_reports(versions: DataFrame, order: tuple[str, ...] = ("update_time",)) -> DataFrame:
