@@ -57,17 +57,19 @@ def rate_query(
     step_seconds: int,
     range_seconds: int,
     id_col: str = "id",
+    parts: int | None = None,
 ) -> DataFrame:
     """Per-second increase of counters over the range before every step (the step included, the range's start not).
 
     Each sample knows the one before it and emits the steps whose range holds it; its increase counts where the range
-    holds both. Sums are combined before the shuffle, so a busy series costs its samples times range / step.
+    holds both. Sums are combined before the shuffle, so a busy series costs its samples times range / step. With `parts`
+    the samples are dealt to so many tasks (`parts_of` their number).
     """
     step, width = step_seconds * 1_000_000, range_seconds * 1_000_000
     first, last, us = F.unix_micros(start), F.unix_micros(end), F.unix_micros("ts")
     near = samples.filter((us > first - width) & (F.col("ts") <= end))
     before = F.struct(us.alias("us"), F.col("value").alias("value"))
-    seen = blocked_previous(near, keys, slot_of(F.col("ts"), 3_600_000_000), ["ts", id_col], before, "_before")
+    seen = blocked_previous(near, keys, slot_of(F.col("ts"), 3_600_000_000), ["ts", id_col], before, "_before", parts)
 
     def floor_div(x: Column) -> Column:
         return ((x - F.pmod(x, F.lit(step))) / step).cast("bigint")
@@ -89,10 +91,10 @@ def rate_query(
 
 def quantile_of_rate(
     buckets: DataFrame, keys: list[str], q: float, start: Column, end: Column, step_seconds: int, range_seconds: int,
-    le: str = "le", id_col: str = "id",
+    le: str = "le", id_col: str = "id", parts: int | None = None,
 ) -> DataFrame:
     """Quantile of the rates of cumulative bucket counters (upper bound le, +Inf included) at every step."""
-    rates = rate_query(buckets, [*keys, le], start, end, step_seconds, range_seconds, id_col)
+    rates = rate_query(buckets, [*keys, le], start, end, step_seconds, range_seconds, id_col, parts)
     return histogram_quantile(rates, [*keys, "step_ts"], q, le, "rate")
 
 

@@ -10,23 +10,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.times import slot_of
 
 
+#: Rows of blocks that one task sorts.
+ROWS_AT_ONCE = 250_000
+
+
+def parts_of(rows: int) -> int:
+    """Tasks for this many rows, so that what a task holds does not grow with the table."""
+    return 1 + rows // ROWS_AT_ONCE
+
+
 def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add `_key`, a struct of the keys: unlike plain columns it joins NULL to NULL."""
     return df.withColumn("_key", F.struct(*keys))
 
 
+def _dealt(marked: DataFrame, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows, to be aggregated by key and block, and the same rows in `parts` tasks by them.
+
+    Floating numbers of the key become text, 0.0 for both zeros: windows and joins would bring them to one form themselves, and
+    then deal the rows again.
+    """
+    if not parts:
+        return marked, marked
+    fields = [(F.col("_key")[f.name], f.name, isinstance(f.dataType, T.FloatType | T.DoubleType)) for f in marked.schema["_key"].dataType]
+    key = F.struct(*[((c + F.lit(0.0)).cast("string") if floating else c).alias(name) for c, name, floating in fields])
+    marked = marked.withColumn("_key", key)
+    return marked, marked.repartition(parts, "_key", "_block")
+
+
 def blocked_running_sum(
-    df: DataFrame, keys: list[str], block: Column, order: list[Column], value: Column, out: str
+    df: DataFrame, keys: list[str], block: Column, order: list[Column], value: Column, out: str, parts: int | None = None
 ) -> DataFrame:
     """Running sum of value per key in the given order, this row included.
 
-    The block must not decrease along the order.
+    The block must not decrease along the order. With `parts` the blocks are dealt to so many tasks.
     """
-    marked = keyed(df, keys).withColumn("_block", block).withColumn("_value", value)
+    marked, dealt = _dealt(keyed(df, keys).withColumn("_block", block).withColumn("_value", value), parts)
     inner = Window.partitionBy("_key", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -36,7 +60,7 @@ def blocked_running_sum(
         .drop("_sum")
     )
     return (
-        marked.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
+        dealt.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
         .join(carried, ["_key", "_block"])
         .withColumn(out, F.col("_inner") + F.col("_carry"))
         .drop("_key", "_block", "_value", "_inner", "_carry")
@@ -62,10 +86,10 @@ def blocked_next(df: DataFrame, keys: list[str], block: Column, order: Column, o
 
 
 def blocked_previous(
-    df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str
+    df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str, parts: int | None = None
 ) -> DataFrame:
-    """Value in the row before of the key; the last row of the block before opens a block."""
-    marked = keyed(df, keys).withColumn("_block", block).withColumn("_value", value)
+    """Value in the row before of the key; the last row of the block before opens a block. `parts` as in the running sum."""
+    marked, dealt = _dealt(keyed(df, keys).withColumn("_block", block).withColumn("_value", value), parts)
     inner = Window.partitionBy("_key", "_block").orderBy(*order)
     lasts = (
         marked.groupBy("_key", "_block")
@@ -74,7 +98,7 @@ def blocked_previous(
         .drop("_last")
     )
     return (
-        marked.withColumn("_no", F.row_number().over(inner))
+        dealt.withColumn("_no", F.row_number().over(inner))
         .withColumn("_lag", F.lag("_value").over(inner))
         .join(lasts, ["_key", "_block"])
         .withColumn(out, F.when(F.col("_no") == 1, F.col("_last_block")).otherwise(F.col("_lag")))

@@ -13,7 +13,7 @@ from logloom.operators import logquery, metrics, transcripts
 from logloom.operators.embed import HashEmbedder
 from logloom.plans import oracle_views as ov
 from logloom.plans import views
-from logloom.plans.blocks import blocked_running_sum
+from logloom.plans.blocks import blocked_running_sum, parts_of
 from logloom.session import new_table_path
 from logloom.sources import vector_table
 from logloom.streaming.dedup import drop_repeats, stream_template_dedup
@@ -213,12 +213,12 @@ _COUNTERS = f"""{ov.SAMPLES}, c AS (SELECT *, epoch_us(ts) AS us,
 _STEPS = "st AS (SELECT epoch_us(unnest(range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-28' + INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR))) AS step_us)"
 
 
-def _counters(spark: SparkSession, sf: str) -> DataFrame:
+def _counters(spark: SparkSession, sf: str, parts: int) -> DataFrame:
     """Counters that start again every day."""
     day = times.slot_of(F.col("ts"), 86_400_000_000)
     return blocked_running_sum(
         views.samples(spark, sf).withColumn("day", day), [*_KEYS, "day"], times.slot_of(F.col("ts"), 3_600_000_000),
-        [F.col("ts"), F.col("id")], F.col("value").cast("decimal(18,2)"), "total",
+        [F.col("ts"), F.col("id")], F.col("value").cast("decimal(18,2)"), "total", parts,
     ).withColumn("value", F.col("total").cast("double"))
 
 
@@ -230,7 +230,8 @@ def _counters(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rate_step(spark: SparkSession, sf: str) -> DataFrame:
     """The increase over half a day, every six hours."""
-    rows = metrics.rate_query(_counters(spark, sf), _KEYS, _ts("2024-01-03"), _ts("2024-01-28"), 21_600, 43_200)
+    parts = parts_of(views.samples(spark, sf).count())
+    rows = metrics.rate_query(_counters(spark, sf, parts), _KEYS, _ts("2024-01-03"), _ts("2024-01-28"), 21_600, 43_200, parts=parts)
     return rows.select(*_KEYS, F.unix_micros("step_ts").alias("step_us"), F.round(F.col("rate") * 43_200, 2).alias("increase"), "samples")
 
 
@@ -275,12 +276,14 @@ _BUCKETS = f"""{ov.SAMPLES}, bounds AS (SELECT * FROM (VALUES {_BOUND_ROWS}, ('I
 def quantile_of_rate(spark: SparkSession, sf: str) -> DataFrame:
     """The 0.9 quantile of the values of half a day, every six hours, from bucket counters."""
     le = F.explode(F.array(*(F.lit(float(b)) for b in (*_BOUNDS, float("inf")))))
-    ones = views.samples(spark, sf).select("service", "ts", "id", "value", le.alias("le"))
+    samples = views.samples(spark, sf)
+    parts = parts_of(samples.count() * (len(_BOUNDS) + 1))
+    ones = samples.select("service", "ts", "id", "value", le.alias("le"))
     counters = blocked_running_sum(
         ones, ["service", "le"], times.slot_of(F.col("ts"), 3_600_000_000), [F.col("ts"), F.col("id")],
-        F.when(F.col("value") <= F.col("le"), 1).otherwise(0).cast("decimal(18,0)"), "total",
+        F.when(F.col("value") <= F.col("le"), 1).otherwise(0).cast("decimal(18,0)"), "total", parts,
     ).withColumn("value", F.col("total").cast("double"))
-    rows = metrics.quantile_of_rate(counters, ["service"], 0.9, _ts("2024-01-03"), _ts("2024-01-28"), 21_600, 43_200)
+    rows = metrics.quantile_of_rate(counters, ["service"], 0.9, _ts("2024-01-03"), _ts("2024-01-28"), 21_600, 43_200, parts=parts)
     return rows.select("service", F.unix_micros("step_ts").alias("step_us"), F.round("quantile", 6).alias("quantile"))
 
 
