@@ -1,6 +1,6 @@
 """Streams that act when event time passes a moment: admission in the order of events, expiry of records, schedules.
 
-All three are keyed state with one self-renewing event-time timer per key, set to the earliest moment that something of the key
+All three are keyed state with one self-renewing event-time timer per key (in admission, per bucket of keys), set to the earliest moment that something of the key
 is due. A row waits in the state until the watermark passes its time, so the order of arrival does not matter within the
 delay. Rows behind the watermark are not dropped by the engine, they reach the state and get an outcome of their own: the
 watermark is taken from the time column, which then goes on as a plain one.
@@ -11,12 +11,15 @@ rows of a stream wait for later ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.analysis import compose_query
@@ -59,65 +62,94 @@ def _passed_us(timer_values) -> int:  # noqa: ANN001
 # --- admission ---------------------------------------------------------------------------------------------------------
 
 
+#: Rows of one piece of the state, and buckets of keys.
+PIECE, BUCKETS = 1 << 16, 1024
+
+
+def _packed(rows: pa.Table) -> list[tuple[bytes]]:
+    """The rows as elements of a list state, of a bounded number of rows each."""
+    packed = []
+    for at in range(0, rows.num_rows, PIECE):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.slice(at, PIECE))
+        packed.append((sink.getvalue().to_pybytes(),))
+    return packed
+
+
+def _unpacked(pieces: Iterable[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(bytes(p[0])).read_all() for p in pieces)])
+
+
 class OrderedAdmission(StatefulProcessor):
-    """Waiting requests of one (trigger, query), and the last admitted one."""
+    """Waiting requests of a bucket of keys (trigger, query), and the last admitted one of each key.
+
+    A call of the state or a frame for every key would cost more than the decisions, so the rows of a bucket are read and written together.
+    """
+
+    PIECES = T.StructType([T.StructField("rows", T.BinaryType())])
 
     def __init__(self, row: T.StructType, out: T.StructType, window_us: int):
         self.row, self.out, self.window_us = row, out, window_us
-        self.at, self.whole = row.names.index("us"), [isinstance(f.dataType, T.IntegralType) for f in row]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), T.StructField("id", T.StringType())]))
+        self.waiting = handle.getListState("waiting", self.PIECES)
+        self.last = handle.getListState("last", self.PIECES)
+        self.schema = to_arrow_schema(self.row)
+        self.last_schema = pa.schema([self.schema.field("trigger"), self.schema.field("query"), ("us", pa.int64()), ("id", pa.string())])
 
-    def _frame(self, rows: list[tuple], admitted: list, blocked_by: list, late: bool) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.row.names, dtype=object)
+    def _frame(self, rows: pa.Table, admitted: list, blocked_by: list, late: bool) -> pd.DataFrame:
+        out = rows.to_pandas(integer_object_nulls=True)
         out["admitted"], out["blocked_by"], out["late"] = admitted, pd.Series(blocked_by, dtype=object), late
-        return out[self.out.names]
-
-    def _row(self, values: tuple) -> tuple:
-        """Values as the state takes them: pandas turns whole numbers with nulls into floats."""
-        return tuple(None if pd.isna(v) else int(v) if whole else v for v, whole in zip(values, self.whole, strict=True))
+        return with_object_strings(out[self.out.names])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         passed = _passed_us(timer_values)
-        came = [self._row(r) for part in rows for r in with_object_strings(part)[self.row.names].itertuples(index=False, name=None)]
-        new, late = [r for r in came if r[self.at] > passed], [r for r in came if r[self.at] <= passed]
-        if new:
-            held, least = list(self.handle.listTimers()), min(r[self.at] for r in new)
-            self.waiting.appendList(new)
+        parts = [pa.Table.from_pandas(part[self.row.names], self.schema, preserve_index=False) for part in rows]
+        came = pa.concat_tables([self.schema.empty_table(), *parts])
+        is_late = pc.less_equal(came.column("us"), passed)
+        new, late = came.filter(pc.invert(is_late)), came.filter(is_late)
+        if new.num_rows:
+            held, least = list(self.handle.listTimers()), pc.min(new.column("us")).as_py()
+            self.waiting.appendList(_packed(new))
             if not held or least // 1000 + 1 < min(held):
                 _reset(self.handle, least)
-        if late:
-            yield self._frame(late, [False] * len(late), [None] * len(late), True)
+        if late.num_rows:
+            yield self._frame(late, [False] * late.num_rows, [None] * late.num_rows, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        passed, at, name = _passed_us(timerValues), self.at, self.row.names.index("id")
-        rows = [tuple(r) for r in self.waiting.get()]
-        due = sorted((r for r in rows if r[at] <= passed), key=lambda r: (r[at], r[name]))
-        rest = [r for r in rows if r[at] > passed]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        last = self.last.get() if self.last.exists() else None
-        us, owner = (None, None) if last is None else (last[0], last[1])
+        passed = _passed_us(timerValues)
+        rows = _unpacked(self.waiting.get(), self.schema)
+        is_due = pc.less_equal(rows.column("us"), passed)
+        due, rest = rows.filter(is_due).sort_by([("us", "ascending"), ("id", "ascending")]), rows.filter(pc.invert(is_due))
+        if due.num_rows:
+            if rest.num_rows:
+                self.waiting.put(_packed(rest))
+            else:
+                self.waiting.clear()
+        before = _unpacked(self.last.get(), self.last_schema).to_pydict()
+        last = {(t, q): (us, i) for t, q, us, i in zip(*before.values(), strict=True)}
         admitted, blocked_by = [], []
-        for r in due:
-            free = us is None or r[at] - us > self.window_us
+        for t, q, us, i in zip(*(due.column(c).to_pylist() for c in ("trigger", "query", "us", "id")), strict=True):
+            at, owner = last.get((t, q), (None, None))
+            free = at is None or us - at > self.window_us
             admitted.append(free)
             blocked_by.append(None if free else owner)
             if free:
-                us, owner = r[at], str(r[name])
-        moments = [r[at] for r in rest]
-        if us is not None and us + self.window_us > passed:
-            self.last.update((us, owner))
-            moments.append(us + self.window_us)  # the state ends with the window
-        elif self.last.exists():
-            self.last.clear()  # it can block no row that is still to come
+                last[t, q] = us, str(i)
+        # the state of a key ends with its window, when it can block no row that is still to come
+        alive = [(t, q, us, i) for (t, q), (us, i) in last.items() if us + self.window_us > passed]
+        if alive:
+            columns = zip(zip(*alive, strict=True), self.last_schema, strict=True)
+            self.last.put(_packed(pa.Table.from_arrays([pa.array(c, f.type) for c, f in columns], schema=self.last_schema)))
+        else:
+            self.last.clear()
+        moments = [us + self.window_us for _, _, us, _ in alive]
+        if rest.num_rows:
+            moments.append(pc.min(rest.column("us")).as_py())
         _reset(self.handle, min(moments, default=None))
-        if due:
+        if due.num_rows:
             yield self._frame(due, admitted, blocked_by, False)
 
     def close(self) -> None:
@@ -125,13 +157,13 @@ class OrderedAdmission(StatefulProcessor):
 
 
 def stream_admission_in_order(
-    requests: DataFrame, window_seconds: float = 300, delay: str = DELAY, clock: DataFrame | None = None
+    requests: DataFrame, window_seconds: float = 300, delay: str = DELAY, clock: DataFrame | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Requests (id, trigger, query, create_time) with `admitted`, `blocked_by` and `late`, decided in the order of their times.
 
     A request is decided once the watermark is past its time, so requests that arrive in any order within the delay get the
     decisions of `admit_requests`, and one without a time is not admitted. A request that arrives behind the watermark is `late`, is not admitted and blocks nothing. A key
-    leaves the state when its window is over.
+    leaves the state when its window is over. The state is kept for `buckets` of keys, whose waiting requests a task reads together.
     """
     times = [f.name for f in requests.schema.fields if isinstance(f.dataType, T.TimestampType)]  # numbers in the state, so no zone shifts them
     columns = [T.StructField(f.name, T.LongType() if f.name in times else f.dataType) for f in requests.schema.fields]
@@ -139,7 +171,8 @@ def stream_admission_in_order(
     out = T.StructType([*columns, *(T.StructField(n, t) for n, t in (("admitted", T.BooleanType()), ("blocked_by", T.StringType()), ("late", T.BooleanType())))])
     keyed = clocked(requests, "create_time", delay, clock)
     keyed = keyed.select(*[F.unix_micros(f.name).alias(f.name) if f.name in times else f.name for f in columns], F.col("_us").alias("us"))
-    decided = keyed.groupBy("trigger", "query").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("trigger", "query"), F.lit(buckets)).alias("_bucket")
+    decided = keyed.select("*", bucket).groupBy("_bucket").transformWithStateInPandas(
         OrderedAdmission(row, out, int(window_seconds * 1_000_000)), out, "Append", "EventTime"
     )
     decided = decided.select(*[F.timestamp_micros(n).alias(n) if n in times else n for n in out.names])

@@ -119,3 +119,15 @@ def test_schedule_follows_its_changes(spark):
     rows = lambda df: sorted((r["name"], r["create_time"], r["query"]) for r in df.where(F.col("create_time") < F.lit(end)).collect())
     assert rows(got) == rows(want) and len(rows(got)) > 15
     assert {r[1] for r in rows(got) if r[0] == "a"} == {T0 + m * MINUTE for m in (10, 20, 28, *range(44, 75, 4))}
+
+
+def test_requests_of_many_keys_wait_in_few_buckets(spark):
+    rows = [(f"r{i:03d}", None if i % 3 else "manual", f"q{i % 40}", T0 + dt.timedelta(seconds=7 * i)) for i in range(400)]
+    parts = [rows[200:], rows[:200]]
+    waits = stream_admission_in_order(feed(spark, parts, REQUEST), delay="2 hours", buckets=3)
+    got, _, check = run(spark, waits)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(check)
+    assert got.count() == 0 and 0 < state.select("key").distinct().count() <= 3
+    got, _, _ = run(spark, stream_admission_in_order(feed(spark, parts, REQUEST), delay="2 hours", clock=clock(spark, T0, FAR), buckets=3))
+    want = {r["id"]: (r["admitted"], r["blocked_by"]) for r in admit_requests(spark.createDataFrame(rows, REQUEST)).collect()}
+    assert {r["id"]: (r["admitted"], r["blocked_by"]) for r in got.collect()} == want
