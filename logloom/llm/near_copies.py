@@ -16,6 +16,9 @@ each time, so a group grows together without all its pairs; then members of clas
 of them that the place of the shingle and the sizes allow. No pair is lost: a link that is not compared lies inside a class. Shingles and texts are told apart
 by 64-bit hashes.
 
+Rounds end as soon as all pairs of different classes that meet in a list are no more than a fixed number for each member, so they are
+only run where lists are long. Joins are merges, as a broadcast, of which the driver holds the table and a thread, gains nothing here.
+
 Texts are compared in blocks: a block is a stretch of a list, or a share of the partners of a text, so its number of texts is
 bounded, and a text travels once to each block that has a pair of it, as text, which is a quarter of its shingles.
 """
@@ -42,6 +45,8 @@ MOST_COMMON = 1 << 18
 BLOCK = 256
 #: Rounds of comparing members of other classes, and pairs of a class in the first of them.
 ROUNDS, MEETINGS = 6, 4
+#: No further round if the members of lists would meet others of another class no more often than this, on average.
+FEW_PAIRS = 8
 #: Shingles that a task counts at once for the list lengths.
 COUNT_AT_ONCE = 1 << 21
 
@@ -124,9 +129,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int = 5) ->
     """
     if "x" not in pairs.columns:
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        pairs = pairs.join(parts, "a").select("a", "b", F.col("a").alias("x"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("y"))
+        pairs = pairs.join(parts.hint("merge"), "a").select("a", "b", F.col("a").alias("x"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("y"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("x").alias("of_x"), F.col("y").alias("of_y")).distinct()
-    held = texts.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]).join(needed, "node")
+    held = texts.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]).join(needed.hint("merge"), "node")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -150,9 +155,9 @@ def simhash_candidates(texts: DataFrame, words_per_shingle: int = 5) -> DataFram
     first text with each other one, of two groups their first texts."""
     marks = materialize(simhash.fingerprints(texts, "node", "text", words_per_shingle).withColumnRenamed("doc_id", "node").distinct(), "fingerprints")
     groups = marks.groupBy("fp").agg(F.min("node").alias("first"))
-    same = marks.join(groups, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    same = marks.join(groups.hint("merge"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     ends = [groups.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
-    near = simhash.links(groups.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    near = simhash.links(groups.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
     return same.union(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))).distinct()
 
 
@@ -173,15 +178,15 @@ def links(texts: DataFrame, words_per_shingle: int = 5, long_list: int = LONG_LI
     near = listed.where("before is not null").where(_possible(F.col("n"), F.col("before.n"), F.col("at"), F.col("before.at")))
     block = F.min(F.struct(F.col("shingle").alias("x"), F.floor(F.col("place") / BLOCK).alias("y"))).alias("block")
     pairs = near.groupBy(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).agg(block)
-    pairs, pairs_path = stored(pairs.select("a", "b", "block.*").join(seeds, ["a", "b"], "left_anti"), "pairs")
+    pairs, pairs_path = stored(pairs.select("a", "b", "block.*").join(seeds.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     linked = linked.union(materialize(verified(pairs, texts, words_per_shingle), "links"))
 
     roots = components(linked)
-    named = listed.drop("before", "place").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    named = listed.drop("before", "place").join(roots.hint("merge"), "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     rows, compared, more = _grown(named, pairs.select("a", "b").union(seeds), texts, words_per_shingle)
     for part in more:
         linked = linked.union(part)
-    rest, rest_path = stored(_across_classes(rows).join(compared, ["a", "b"], "left_anti"), "pairs")
+    rest, rest_path = stored(_across_classes(rows).join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     for path in (listed_path, pairs_path, seeds_path):
         drop(spark, path)
     if not rest.isEmpty():
@@ -197,10 +202,10 @@ def _grown(named: DataFrame, compared: DataFrame, texts: DataFrame, words_per_sh
     for k in range(ROUNDS + 1):
         several = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
         before = path
-        rows, path = stored(rows.join(several, "shingle", "left_semi"), "mixed")
+        rows, path = stored(rows.join(several.hint("merge"), "shingle", "left_semi"), "mixed")
         if before:
             drop(rows.sparkSession, before)
-        if k == ROUNDS:
+        if k == ROUNDS or _few_pairs(rows):
             break
         meetings = MEETINGS << k
         order = Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(k)), "node")
@@ -208,11 +213,11 @@ def _grown(named: DataFrame, compared: DataFrame, texts: DataFrame, words_per_sh
         met = met.select("shingle", F.struct("node", "n", "at", "class").alias("other"))
         sizes = rows.groupBy("shingle", "class").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("shingle").agg(F.max_by("class", F.struct("size", "class")).alias("largest"))
-        small = rows.join(largest, "shingle").where("class <> largest").drop("largest")
-        near = small.join(met, "shingle").where((F.col("other.class") != F.col("class")) & _possible(F.col("n"), F.col("other.n"), F.col("at"), F.col("other.at")))
+        small = rows.join(largest.hint("merge"), "shingle").where("class <> largest").drop("largest")
+        near = small.join(met.hint("merge"), "shingle").where((F.col("other.class") != F.col("class")) & _possible(F.col("n"), F.col("other.n"), F.col("at"), F.col("other.at")))
         near = near.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), "class").distinct()
         few = Window.partitionBy("class").orderBy(F.xxhash64("a", "b", F.lit(k)), "a", "b")
-        near = near.join(compared, ["a", "b"], "left_anti").withColumn("k", F.row_number().over(few))
+        near = near.join(compared.hint("merge"), ["a", "b"], "left_anti").withColumn("k", F.row_number().over(few))
         near = near.where(F.col("k") <= meetings).select("a", "b").distinct()
         near = materialize(near, "pairs")
         if near.isEmpty():
@@ -224,11 +229,19 @@ def _grown(named: DataFrame, compared: DataFrame, texts: DataFrame, words_per_sh
         found.append(new)
         of = rows.select("node", "class").distinct()
         ends = [of.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}")) for x in "ab"]
-        roots = components(new.join(ends[0], "a").join(ends[1], "b").select("class_a", "class_b"))
-        rows = rows.join(roots, F.col("class") == roots["node"], "left").select(rows["node"], "n", "at", "shingle", F.coalesce("root", "class").alias("class"))
+        roots = components(new.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("class_a", "class_b"))
+        rows = rows.join(roots.hint("merge"), F.col("class") == roots["node"], "left").select(rows["node"], "n", "at", "shingle", F.coalesce("root", "class").alias("class"))
     return rows, compared, found
 
 
+def _few_pairs(rows: DataFrame) -> bool:
+    """Whether all pairs of members of different classes that share a list are at most FEW_PAIRS for each member."""
+    sizes = rows.groupBy("shingle", "class").agg(F.count("*").cast("double").alias("n"))
+    lists = sizes.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    members, pairs = lists.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
+    return (pairs or 0) <= FEW_PAIRS * (members or 0)
+
+
 def _across_classes(named: DataFrame) -> DataFrame:
     """Pairs (a, b) of (node, n, at, shingle, class) that are in one list and different classes, and whose sizes and places allow a link.
 
@@ -240,13 +253,13 @@ def _across_classes(named: DataFrame) -> DataFrame:
     other = kinds.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("n", "at", "low", "high")])
     differ = (F.col("low") < F.col("high")) | (F.col("low_b") < F.col("high_b")) | (F.col("low") != F.col("low_b"))
     first = F.struct("n", "at") <= F.struct(F.col("n_b").alias("n"), F.col("at_b").alias("at"))
-    able = kinds.join(other, "shingle").where(first & differ & _possible(F.col("n"), F.col("n_b"), F.col("at"), F.col("at_b")))
+    able = kinds.join(other.hint("merge"), "shingle").where(first & differ & _possible(F.col("n"), F.col("n_b"), F.col("at"), F.col("at_b")))
     able = able.select("shingle", "n", "at", "n_b", "at_b")
     classes = rows.select("shingle", "n", "at", "class").distinct()
     classes_b = classes.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("n", "at", "class")])
-    met = able.join(classes, ["shingle", "n", "at"]).join(classes_b, ["shingle", "n_b", "at_b"]).where("class <> class_b")
+    met = able.join(classes.hint("merge"), ["shingle", "n", "at"]).join(classes_b.hint("merge"), ["shingle", "n_b", "at_b"]).where("class <> class_b")
     rows_b = rows.select("shingle", F.col("node").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("n", "at", "class")])
-    both = met.join(rows, ["shingle", "n", "at", "class"]).join(rows_b, ["shingle", "n_b", "at_b", "class_b"])
+    both = met.join(rows.hint("merge"), ["shingle", "n", "at", "class"]).join(rows_b.hint("merge"), ["shingle", "n_b", "at_b", "class_b"])
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
