@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.session import materialize, new_table_path
+from logloom.session import materialize, new_table_path, write_table
 
 __all__ = ["bucket_of_id", "drop", "id_and_bytes", "labelled", "map_rows", "materialize", "stored", "table", "to_arrow"]
 
@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As materialize, compressed harder and with the path, for large tables that `drop` deletes when they have served."""
     path = new_table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write_table(df, path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

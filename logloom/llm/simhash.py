@@ -165,10 +165,13 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
 
 
 def stay_of_each(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id names the class of one of its rows in `marks`, one row per id."""
-    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rest = docs.join(stay.withColumnRenamed("doc_id", "__stay"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    return rest.dropDuplicates([id_col])
+    """The rows of `docs` whose id names the class of one of its rows in `marks`, one row per id.
+
+    The key is a struct, in which a null id is a value like any other: rows are dealt out by it once, for both steps.
+    """
+    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("doc_id").alias("id")).alias("__stay")).distinct()
+    one = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"))).dropDuplicates(["__key"])
+    return one.join(stay.hint("merge"), F.col("__key") == F.col("__stay")).drop("__key", "__stay")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
