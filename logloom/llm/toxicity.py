@@ -39,6 +39,8 @@ STRETCH = 7
 SPAN = 24
 #: Words of a sentence at most; what runs on is several sentences.
 SENTENCE = 40
+#: Places of triples that are looked up at once, about.
+CELLS = 300_000
 #: Words whose decision a task keeps at most before it starts anew.
 KNOWN_WORDS = 500_000
 
@@ -51,6 +53,8 @@ _EDGE = bytes(b for b in range(128) if _LETTER[b] < 0 and not 48 <= b <= 57)
 #: Two of these begin every word, so that beginnings of words are told from their middles.
 _START = b"\x01\x01"
 _LETTER[1] = 31
+#: The same for bytes.translate: the numbers, and the bytes that are no letters.
+_CODES, _NO_LETTERS = _LETTER.astype(np.uint8).tobytes(), bytes(b for b in range(256) if _LETTER[b] < 0)
 #: All white space of ASCII but the line end becomes a space.
 _SPACES = bytes(32 if b in (9, 11, 12, 13) else b for b in range(256))
 
@@ -60,20 +64,18 @@ def canonical(word: bytes) -> bytes:
     return _START + word.strip(_EDGE).lower()
 
 
-def _triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the letter triples of words of at most SPAN characters, by word and place, and the weights of the places.
+def _letters(piece: bytes) -> bytes:
+    """Numbers of the letters of a piece of a word, in order."""
+    return piece.translate(_CODES, _NO_LETTERS)
 
-    A place that a word lacks has the number LETTERS cubed.
-    """
-    size = max(map(len, words), default=0)
-    raw = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8).reshape(len(words), size)
-    code = _LETTER[raw].astype(np.int32)
-    order = np.argsort(code < 0, axis=1, kind="stable")  # letters first, in order
-    code, most = np.take_along_axis(code, order, 1), int((code >= 0).sum(1).max(initial=0))
-    picks = np.array([x for x in combinations(range(most), 3) if x[2] - x[0] < STRETCH], np.int64).reshape(-1, 3)
+
+def _triples(letters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the letter triples of words of one number of letters, by word and place, and the weights of the places."""
+    code = np.frombuffer(b"".join(letters), np.uint8).reshape(len(letters), len(letters[0])).astype(np.int32)
+    picks = np.array([x for x in combinations(range(code.shape[1]), 3) if x[2] - x[0] < STRETCH], np.int64).reshape(-1, 3)
     a, b, c = (code[:, picks[:, k]] for k in range(3))
     weight = DECAY ** (picks[:, 2] - picks[:, 0] + 1.0)
-    return np.where(c >= 0, (a * LETTERS + b) * LETTERS + c, LETTERS**3), weight.astype(np.float32)
+    return (a * LETTERS + b) * LETTERS + c, weight.astype(np.float32)
 
 
 class Kernel:
@@ -83,12 +85,14 @@ class Kernel:
         self.landmarks = landmarks
         self.table = np.zeros((LETTERS**3 + 1, max(1, len(landmarks))), np.float32)
         for k, w in enumerate(landmarks):
-            triple, weight = _triples([w[:SPAN]])
+            triple, weight = _triples([_letters(w[:SPAN])])
             np.add.at(self.table[:, k], triple[0], weight)
-        self.table[-1] = 0
         self.own = np.einsum("ij,ij->j", self.table, self.table)
-        self.used = self.table.any(1)
+        used = self.table.any(1)
         self.table /= np.where(self.own > 0, self.own, 1)
+        #: Number of each triple among those in any landmark, from 1, and by landmark their shares; 0 is in none.
+        self.place = np.where(used, np.cumsum(used), 0).astype(np.int32)
+        self.shares = np.ascontiguousarray(np.vstack([self.table[-1:], self.table[used]]).T)
 
     def middle(self) -> np.ndarray:
         """Normalised kernel of the landmarks with each other."""
@@ -98,30 +102,39 @@ class Kernel:
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """(words, landmarks); of the windows of a long word the closest counts for each landmark."""
-        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        out = self._near([_letters(w[:SPAN]) for w in words])
         pieces, owner = [], []
         for k, w in enumerate(words):
-            starts = range(0, max(1, len(w) - SPAN // 2), SPAN // 2) if len(w) > SPAN else (0,)
-            pieces += [w[s : s + SPAN] for s in starts]
-            owner += [k] * len(starts)
+            for s in range(SPAN // 2, len(w) - SPAN // 2, SPAN // 2) if len(w) > SPAN else ():
+                pieces.append(_letters(w[s : s + SPAN]))
+                owner.append(k)
+        if pieces:
+            np.maximum.at(out, owner, self._near(pieces))
+        return out
+
+    def _near(self, pieces: list[bytes]) -> np.ndarray:
+        """The same for pieces of words, given as letters; those with equally many letters are compared at once."""
+        out = np.zeros((len(pieces), self.table.shape[1]), np.float32)
         by_length: dict[int, list[int]] = {}
         for k, p in enumerate(pieces):
             by_length.setdefault(len(p), []).append(k)
-        own = np.array(owner, np.int64)
         for length, ks in by_length.items():
             if length < 3:
                 continue
-            step = max(16, 300_000 // (length**3 // 6 + 1))
-            for at in range(0, len(ks), step):
-                part = ks[at : at + step]
+            step = max(16, CELLS // (min(length - 2, STRETCH) ** 2 * length))
+            for a in range(0, len(ks), step):
+                part = ks[a : a + step]
                 triple, weight = _triples([pieces[k] for k in part])
-                total = np.zeros((len(part), out.shape[1]), np.float32)
-                of, which = np.nonzero(self.used[triple])  # few triples are in any landmark
-                if len(of):
-                    starts = np.flatnonzero(np.diff(of, prepend=-1))
-                    values = self.table[triple[of, which]] * weight[which][:, None]
-                    total[of[starts]] = np.add.reduceat(values, starts, axis=0)
-                np.maximum.at(out, own[part], np.minimum(total, 1.0) ** POWER)
+                which = self.place[triple].ravel()
+                held = np.flatnonzero(which)  # few triples are in any landmark
+                if not len(held):
+                    continue
+                of, pick = np.divmod(held, len(weight))
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                values = np.take(self.shares, which[held], axis=1, mode="clip")  # all in range, so none is checked
+                values *= weight[pick]
+                total = np.add.reduceat(values, starts, axis=1)
+                out[np.array(part)[of[starts]]] = (np.minimum(total, 1.0) ** POWER).T
         return out
 
 
@@ -303,10 +316,11 @@ def _score_texts(rows: Iterable[tuple], machine: Machine) -> Iterator[tuple]:
     known: dict[bytes, float] = {}
 
     def flush(held: list[tuple]) -> Iterator[tuple]:
-        new = list({w for _, ss in held for s in ss for w in s if w not in known})
+        words = set().union(*(s for _, ss in held for s in ss))
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
-            new = list({w for _, ss in held for s in ss for w in s})
+            new = list(words)
         forms = list(map(canonical, new))
         distinct = list(set(forms))
         value = dict(zip(distinct, machine.of_words(distinct).tolist(), strict=True))
