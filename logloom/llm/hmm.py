@@ -22,17 +22,17 @@ their numbers hold whatever is computed again.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import bucket_of_id, drop, id_and_bytes, map_rows, materialize, stored, table
+from logloom.llm.common import bucket_of_id, drop, id_and_bytes, map_rows, materialize, stored, table, to_arrow
 
 STATES, HEAD_WORDS, TAIL_CLASSES, ROUNDS, SEGMENT = 8, 3000, 1024, 4, 256
 #: Texts that the first emissions are taken from.
@@ -41,17 +41,37 @@ SEEDS = 400
 BATCH_BYTES = 8 << 20
 #: Positions that a training task holds at once.
 CELLS = 1 << 18
+#: Bytes of text whose words are counted or coded at once, about, and distinct words whose counts a task holds at most.
+SLICE_BYTES, HELD_WORDS = 4 << 20, 400_000
 END = b"\n"  # no word holds it
 ALPHA = 0.1
 
 COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between white space of ASCII, A-Z in lower case, then the end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between white space of ASCII, A-Z in lower case, of all texts end to end, and their number in each text; no ends."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, last = split.flatten().view(pa.binary()), np.cumsum(split.value_lengths().to_numpy())
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either side of a text leaves empty ones
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[np.concatenate([[0], last])]
+    return words.filter(full), np.diff(upto)
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the end last; their numbers in all texts end to end, each with its end; tokens of each text."""
+    words, lengths = words_of(texts)
+    found = words.dictionary_encode()
+    ids = np.insert(found.indices.to_numpy(), np.cumsum(lengths), len(found.dictionary))
+    return pa.concat_arrays([found.dictionary, pa.array([END])]), ids, lengths + 1
+
+
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of the texts of about `size` bytes, or one text."""
+    run = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
+    cuts = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(run)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield texts.slice(a, b - a)
 
 
 class Classes:
@@ -70,25 +90,40 @@ class Classes:
 
 def _word_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all training texts; tasks add up words before they shuffle them."""
+    schema = to_arrow(COUNTS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            for texts in _slices(batch.column(0), SLICE_BYTES):
+                words, _ = words_of(texts)
+                found = pc.value_counts(words)
+                ends = pa.table([pa.array([END]), pa.array([len(texts)])], schema=schema)
+                held += [pa.table(list(found.flatten()), schema=schema), ends]
+                if sum(map(len, held)) > 2 * HELD_WORDS:
+                    held = [_summed(held)]
+                    if len(held[0]) > HELD_WORDS:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from _summed(held).to_batches()
 
-    def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
-        held: Counter = Counter()
-        for (text,) in texts:
-            held.update(words_of(text))
-            if len(held) > 400_000:
-                yield from held.items()
-                held.clear()
-        yield from held.items()
+    return train.select("text").mapInArrow(rows, COUNTS).groupBy("word").agg(F.sum("c").alias("c"))
 
-    return map_rows(train.select("text"), COUNTS, rows, size=16384).groupBy("word").agg(F.sum("c").alias("c"))
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+    return total.select(["word", "c_sum"]).rename_columns(["word", "c"]).cast(parts[0].schema)
 
-def _segments(texts: Iterable[tuple], classes: Classes) -> Iterator[tuple[int, np.ndarray]]:
+
+def _segments(texts: pa.Array, classes: Classes) -> Iterator[tuple[int, np.ndarray]]:
     """(1 if it begins a text, classes) of the runs of the texts."""
-    for (text,) in texts:
-        ids = classes.of(words_of(text))
-        for a in range(0, len(ids), SEGMENT):
-            yield int(a == 0), ids[a : a + SEGMENT]
+    for some in _slices(texts, SLICE_BYTES):
+        words, ids, lengths = coded(some)
+        ids = classes.of(words.to_pylist())[ids]
+        for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+            for a in range(end - n, end, SEGMENT):
+                yield int(a == end - n), ids[a : min(end, a + SEGMENT)]
 
 
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,33 +159,38 @@ class Chain:
         steps, k = len(ids), len(self.start)
         single = np.float32  # enough for counts of scaled probabilities; sums over sequences are double
         by_class, move = np.ascontiguousarray(self.emit.T, single), self.move.astype(single)
-        alive = np.searchsorted(-lengths, -np.arange(steps + 1), side="left").tolist()
-        likely = by_class[ids]
-        alphas, scales = np.zeros((steps, len(lengths), k), single), np.ones((steps, len(lengths)), single)
-        alpha = np.tile(self.start.astype(single), (len(lengths), 1))
-        for t in range(steps):
-            n = alive[t]
-            alpha = (alpha[:n] @ move if t else alpha) * likely[t, :n]
-            scale = alpha.sum(1)
-            alpha = alpha / scale[:, None]
-            alphas[t, :n], scales[t, :n] = alpha, scale
+        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
+        ends = np.cumsum(alive).tolist()
+        at = [slice(end - n, end) for n, end in zip(alive.tolist(), ends, strict=True)]  # rows of a time, without padding
+        flat = ids[np.arange(steps)[:, None] < lengths].astype(np.intp)
+        likely = by_class[flat]
+        alphas, scales = np.empty((len(flat), k), single), np.empty((len(flat), 1), single)
+        for t, rows in enumerate(at):
+            now = alphas[rows]
+            if t:
+                np.matmul(alphas[at[t - 1]][: len(now)], move, out=now)
+            else:
+                now[:] = self.start
+            now *= likely[rows]
+            now.sum(1, keepdims=True, out=scales[rows])
+            now /= scales[rows]
         beta = np.ones((len(lengths), k), single)
         moves = np.zeros((k, k))
         for t in range(steps - 1, -1, -1):
-            n, after = alive[t], alive[t + 1] if t + 1 < steps else 0
-            if after:
-                ahead = beta[:after] * likely[t + 1, :after] / scales[t + 1, :after, None]
-                moves += alphas[t, :after].T @ ahead
-                beta[:after] = ahead @ move.T
-            alphas[t, :n] *= beta[:n]  # now the probability of each state
-        into[:k] += alphas[0][first > 0].sum(0)
+            now = alphas[at[t]]
+            if t + 1 < steps:
+                ahead = likely[at[t + 1]]  # has served, so it may be overwritten
+                ahead *= beta[: len(ahead)]
+                ahead /= scales[at[t + 1]]
+                moves += now[: len(ahead)].T @ ahead
+                np.matmul(ahead, move.T, out=beta[: len(ahead)])
+            now *= beta[: len(now)]  # now the probability of each state
+        into[:k] += alphas[at[0]][first > 0].sum(0)
         into[k : k + k * k] += (moves * self.move).ravel()
-        valid = (np.arange(steps)[:, None] < lengths).ravel()
-        flat, gamma = ids.ravel()[valid], alphas.reshape(-1, k)[valid]
         n = by_class.shape[0]
-        for s in range(k):
-            at = k + k * k + s * n
-            into[at : at + n] += np.bincount(flat, weights=gamma[:, s], minlength=n)
+        for s, gamma in enumerate(np.ascontiguousarray(alphas.T, np.float64)):
+            here = k + k * k + s * n
+            into[here : here + n] += np.bincount(flat, weights=gamma, minlength=n)
 
     @staticmethod
     def of_counts(counts: np.ndarray, k: int, n: int) -> Chain:
@@ -188,13 +228,16 @@ def train_chain(train: DataFrame, classes: Classes, per_class: np.ndarray, state
     """Baum-Welch over all texts of `train` (text): each round sums the expected counts of the tasks."""
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast(classes)
-    coded = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    run = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    schema = to_arrow(run)
 
-    def encode(texts: Iterator[tuple]) -> Iterator[tuple]:
-        for first, ids in _segments(texts, sent.value):
-            yield first, ids.astype("<u2").tobytes()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(first, ids.astype("<u2").tobytes()) for first, ids in _segments(batch.column(0), sent.value)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    runs, path = stored(map_rows(train.select("text"), coded, encode), "classes")  # read again in every round
+    runs, path = stored(train.select("text").mapInArrow(encode, run), "classes")  # read again in every round
     sample = runs.where("first = 1").orderBy(F.xxhash64("ids"), "ids").limit(SEEDS).collect()
     chain = first_chain([np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in sample], classes.n, states, per_class)
     part = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
@@ -289,22 +332,29 @@ def score_texts(
     gathered, _ = stored(map_rows(texts, batched, number, size=256), "batches")
     asked = T.StructType([T.StructField("batch", T.LongType()), T.StructField("word", T.BinaryType())])
 
-    def ask(rows: Iterator[tuple]) -> Iterator[tuple]:
-        seen: dict[int, set] = {}
-        held = 0
-        for text, batch in rows:
-            known = seen.setdefault(batch, set())
-            held -= len(known)
-            known.update(words_of(text))
-            held += len(known)
-            if held > 1_000_000:
-                for b, words in seen.items():
-                    yield from ((b, w) for w in words)
-                seen, held = {}, 0
-        for b, words in seen.items():
-            yield from ((b, w) for w in words)
-
-    wanted = map_rows(gathered.select("text", "batch"), asked, ask, size=16384)
+    question = to_arrow(asked)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(number: int, words: pa.Array) -> pa.RecordBatch:
+            words = pa.concat_arrays([words, pa.array([END])])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), words], schema=question)
+
+        now, held = -1, pa.array([], pa.binary())
+        for rows in batches:
+            ids = rows.column(1).to_numpy()
+            cuts = [*np.flatnonzero(np.diff(ids, prepend=-1)).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):  # the texts of a batch lie together
+                words = pc.unique(words_of(rows.column(0).slice(a, b - a))[0])
+                if ids[a] == now:
+                    held = pc.unique(pa.concat_arrays([held, words]))
+                    continue
+                if now >= 0:
+                    yield of(now, held)
+                now, held = int(ids[a]), words
+        if now >= 0:
+            yield of(now, held)
+
+    wanted = gathered.select("text", "batch").mapInArrow(ask, asked)
     answers = wanted.join(counts, "word").select("batch", "word", "c")
     out = T.StructType(
         [
@@ -313,36 +363,30 @@ def score_texts(
         ]
     )
 
-    def score(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    result = to_arrow(out)
+
+    def score(mine: pa.Table, found: pa.Table) -> pa.Table:
         chain, per = model.value
-        tokens = [words_of(t) for t in mine["text"]]
-        lengths = np.array([len(t) for t in tokens], np.int64)
+        distinct, flat, lengths = coded(mine["text"].combine_chunks())
         order = np.argsort(-lengths, kind="stable")
-        words = list(dict.fromkeys(w for t in tokens for w in t))
-        place = dict(zip(words, range(len(words)), strict=True))
+        words = distinct.to_pylist()
         counts = np.zeros(len(words), np.int64)
-        counts[list(map(place.__getitem__, found["word"]))] = found["c"].to_numpy()
+        counts[pc.index_in(found["word"].combine_chunks(), value_set=distinct).to_numpy()] = found["c"].to_numpy()
         kind = sent.value.of(words)
         own_of = np.log10((counts + ALPHA) / (per[kind, 0] + ALPHA * (per[kind, 1] + 1)))
         base_of = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
-        at = [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in tokens]
-        del tokens, place, words
-        kinds = [kind[x] for x in at]
-        flat = np.concatenate(at)
+        of_class = kind[flat]
         c, own, base = counts[flat], own_of[flat], base_of[flat]
         first = np.cumsum(lengths) - lengths
-        path = np.zeros(len(at))
+        path = np.zeros(len(lengths))
         for part in _slabs(order, lengths):
-            ids, long = _padded([kinds[k] for k in part])
+            ids, long = _padded([of_class[first[k] : first[k] + lengths[k]] for k in part])
             path[part] = chain.log10(ids, long)
-        return pd.DataFrame(
-            {
-                "doc_id": mine["doc_id"].to_numpy(), "n_tokens": lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64), first),
-                "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(own, first) + path,
-            }
-        )
+        known = np.add.reduceat((c > 0).astype(np.int64), first)
+        columns = [lengths, known, np.add.reduceat(base, first), np.add.reduceat(own, first) + path]
+        return pa.table([mine["doc_id"], *map(pa.array, columns)], schema=result)
 
-    scored = gathered.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, out)
+    scored = gathered.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, out)
     return scored.select(
         "doc_id", (bucket_of_id(modulus) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
